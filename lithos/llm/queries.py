@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm import language, packing, sharding, urls
+from lithos.llm import decontaminate, language, lines, minhash, neighbours, packing, pages, sharding, suffixes, urls
 from lithos.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -49,5 +49,35 @@ def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {q.__name__: q for q in (op1_language, op4_url_reputation, op6_feistel_shards, op7_window_packing)}
+def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, group_id (smallest doc_id of its near-duplicates), copy_of (of the texts with the same words) of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without repeated lines, n_lines, n_removed of every document."""
+    return lines.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def op10_cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score of the ten nearest of every hundredth vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "vec_id % 100 = 0")
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return pages.main_text(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
+def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {q.__name__: q for q in (op1_language, op2_bagminhash, op3_projection_forest, op4_url_reputation, op5_main_text, op6_feistel_shards, op7_window_packing, op8_repeated_spans, op9_fuzzy_lines, op10_cgk_leaks)}
 ORACLES: dict[str, str] = {}
