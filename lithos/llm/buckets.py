@@ -4,50 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.llm.common import checkpointed
+from lithos.llm.components import connected_components
 
-#: Members of a bucket up to which all its pairs (28 at most) are verified.
-SMALL = 8
+#: Members of a bucket up to which all its pairs (120 at most) are verified.
+SMALL = 16
+#: Members of a larger bucket that all others are compared with.
+LEADERS = 4
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame, float], DataFrame], may: str = "true") -> DataFrame:
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame, float], DataFrame], may: str = "true", slack: float = 1.0) -> DataFrame:
     """(a, b) of linked ids, enough to connect all ids that links inside buckets connect.
 
     members: (bucket, id, ...), each id once in a bucket. `verify(pairs, reach)`
     turns distinct (a, b) into (a, b, d, radius): d is a metric distance, exact
     up to `reach` times the radius (null beyond), and the two are linked
-    if d <= radius. `may`: a condition on the columns of x and y (two members
-    of a bucket) without which they can't be linked.
+    if d <= radius. No pair of an id has a larger radius than `slack` times
+    that of its other pairs. `may`: a condition on the columns of x and y (two
+    members of a bucket) without which they can't be linked.
 
     A bucket of SMALL members or fewer has all its pairs verified. In a larger
-    one all are compared with its smallest id, the leader. Those linked to it
-    are settled. The others go on to the next round without them, by when they
-    have been compared with those settled members that the triangle
-    inequality leaves: b can be linked to a only if d(b) - d(a) is within
-    the radius. Rounds go on until every bucket is used up, so no link is lost
-    and none is capped.
+    one all are compared with LEADERS of it, those that are in most large
+    buckets and so most central. That connects nearly all that is connected.
+    What it leaves is done exactly: two members that are not yet connected are
+    compared unless their distances to the leaders, by the triangle
+    inequality, rule a link out. Nothing is capped.
     """
     members = checkpointed(members)
-    least = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    small = members.join(least.where(f"n <= {SMALL}").select("bucket"), "bucket")
+    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    small = members.join(size.where(f"n <= {SMALL}").select("bucket"), "bucket")
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(y, F.expr(f"x.bucket = y.bucket and x.id < y.id and ({may})")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = verify(pairs, 1.0).where("d <= radius").select("a", "b")
-    big = checkpointed(members.join(least.where(f"n > {SMALL}").select("bucket"), "bucket").select("bucket", "id"))
-    while not big.isEmpty():
-        leader = big.groupBy("bucket").agg(F.min("id").alias("a"))
-        led = big.join(leader, "bucket").where("id > a").select("bucket", "a", F.col("id").alias("b"))
-        known = checkpointed(verify(led.select("a", "b").distinct(), 2.0))
-        led = checkpointed(led.join(known, ["a", "b"], "left").withColumn("linked", F.coalesce(F.col("d") <= F.col("radius"), F.lit(False))))
-        links = links.union(known.where("d <= radius").select("a", "b"))
-        ring = led.where("not linked and d is not null").select("bucket", F.col("b").alias("rb"), F.col("d").alias("rd"), F.col("radius").alias("rr"))
-        settled = led.where("linked").select(F.col("bucket").alias("sb"), F.col("b").alias("sa"), F.col("d").alias("sd"))
-        cross = ring.join(settled, F.expr("bucket = sb and rd - sd <= rr")).select(F.least("rb", "sa").alias("a"), F.greatest("rb", "sa").alias("b")).distinct()
-        links = links.union(verify(cross, 1.0).where("d <= radius").select("a", "b"))
-        rest = led.where("not linked").select("bucket", F.col("b").alias("id"))
-        alive = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        big = checkpointed(rest.join(alive, "bucket"))
-    return links
+    big = checkpointed(members.join(size.where(f"n > {SMALL}").select("bucket"), "bucket").select("bucket", "id"))
+    if big.isEmpty():
+        return verify(pairs, 1.0).where("d <= radius").select("a", "b")
+
+    central = big.join(big.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id")
+    first = central.withColumn("j", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "id"))).where(F.col("j") <= LEADERS)
+    led = checkpointed(big.join(first.select("bucket", "j", F.col("id").alias("leader")), "bucket"))
+    ends = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
+    pairs = pairs.union(led.where("id != leader").select(*ends)).distinct()
+    known = checkpointed(verify(pairs, 2.0))
+    links = known.where("d <= radius").select("a", "b")
+    groups = connected_components(links, "a", "b")
+    far = led.select("bucket", "id", "j", "leader", *ends).join(known, ["a", "b"], "left")
+    far = far.withColumn("d", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.col("d").cast("double")))
+    columns = [F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for j in range(1, LEADERS + 1) for c in ("d", "radius")]
+    placed = far.groupBy("bucket", "id").agg(*columns).join(groups, F.col("id") == groups.node, "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
+    # buckets whose members are all connected are done
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    placed = checkpointed(placed.join(open_, "bucket"))
+    x, y = placed.alias("x"), placed.alias("y")
+    near = []
+    for j in range(1, LEADERS + 1):
+        reach = f"{slack} * greatest(coalesce(x.radius{j}, y.radius{j}), coalesce(y.radius{j}, x.radius{j}))"
+        one = "{0}.d{1} >= 2 * coalesce({2}.radius{1}, {0}.radius{1}) - " + reach
+        near.append(f"coalesce(abs(x.d{j} - y.d{j}) <= {reach}, {one.format('x', j, 'y')}, {one.format('y', j, 'x')}, true)")
+    rest = x.join(y, F.expr("x.bucket = y.bucket and x.id < y.id and x.root != y.root and " + " and ".join(near)))
+    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return links.union(verify(rest, 1.0).where("d <= radius").select("a", "b"))

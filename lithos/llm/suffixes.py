@@ -39,7 +39,9 @@ _CONTEXT = SPAN + _REACH
 #: No byte of UTF-8: what lies outside of a document.
 _OUT = 0xFF
 #: Text of a chunk, and text whose anchors a bucket holds, in bytes on average.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+#: Contexts whose suffixes are sorted at once; one anchor's are never parted.
+SORTED = 8_000
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -239,8 +241,15 @@ def remove_repeats(docs: DataFrame, key: str, text: str, with_kept: bool = False
         anchor = (np.cumsum(fresh_h) - 1)[fresh]
         many = np.bincount(anchor)[anchor] > 1 if len(rep) else np.zeros(0, bool)
         mask = np.zeros(len(rep), U64)
-        if many.any():
-            mask[many] = repeated_masks(ctx[rep[many]], doc[rep[many]])
+        some = np.flatnonzero(many)  # anchor by anchor: equal strings have the same
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(anchor[some]) > 0])) if len(some) else np.zeros(0, np.int64)
+        edges = np.append(edges, len(some))
+        at = 0
+        while at < len(edges) - 1:
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + SORTED, "right")) - 1)
+            part = some[edges[at] : edges[to]]
+            mask[part] = repeated_masks(ctx[rep[part]], doc[rep[part]])
+            at = to
         least, own = doc[rep][kind], mask[kind]
         ends = np.cumsum(n)
         cuts = list(zip(ends - n, ends, strict=True))
