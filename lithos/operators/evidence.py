@@ -109,6 +109,9 @@ def repair_json(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
-def repaired(text: pd.Series) -> pd.Series:
-    return text.map(repair_json)
+def repaired(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(repair_json)
+
+    return run(text)
