@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     an edge with a null end is no edge. No edges give no rows.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    edges = edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where(x.isNotNull() & y.isNotNull())
+    edges = edges.where(x.isNotNull() & y.isNotNull()).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     edges = checkpointed(edges.distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b"))
     edges = edges.where("a > b")

@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 
 from lithos.llm.common import U64, Rolling, flat, mix, owners
 
-SPAN, SEED = 50, 20
+SPAN, SEED = 50, 28
 _REACH = SPAN - SEED
 _CONTEXT = SPAN + _REACH
 #: No byte of UTF-8: what lies outside of a document.
 _OUT = 0xFF
 #: Text of a chunk, and text whose anchors a bucket holds, in bytes on average.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: Contexts whose suffixes are sorted at once; one anchor's are never parted.
-SORTED = 8_000
+SORTED = 4_000
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
