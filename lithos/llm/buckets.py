@@ -46,9 +46,8 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame, float], DataFr
     first = central.withColumn("j", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "id"))).where(F.col("j") <= LEADERS)
     led = checkpointed(big.join(first.select("bucket", "j", F.col("id").alias("leader")), "bucket"))
     ends = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
-    pairs = pairs.union(led.where("id != leader").select(*ends)).distinct()
-    known = checkpointed(verify(pairs, 2.0))
-    links = known.where("d <= radius").select("a", "b")
+    known = checkpointed(verify(led.where("id != leader").select(*ends).distinct(), 2.0))
+    links = checkpointed(known.where("d <= radius").select("a", "b").union(verify(pairs, 1.0).where("d <= radius").select("a", "b")))
     groups = connected_components(links, "a", "b")
     far = led.select("bucket", "id", "j", "leader", *ends).join(known, ["a", "b"], "left")
     far = far.withColumn("d", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.col("d").cast("double")))

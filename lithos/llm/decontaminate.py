@@ -3,8 +3,8 @@
 An item of n words is looked for among the windows of n words of every
 document: a document leaks it if some window is within edit distance (in
 words) of floor((1 - SIMILARITY) n). Every such window holds most of the item's
-word pairs, so a running count of pairs that any item has, and then one of pairs
-that one item has, rule out all other windows without loss. The windows left are embedded by CGK random walks (walk
+word pairs, so the places of each item's pairs rule out all other windows without
+loss. The windows left are embedded by CGK random walks (walk
 along a string, copying its symbol at each of 3n steps and moving on by a
 random bit of step and symbol), under which strings at a small edit distance
 agree in most steps. Repeated samples of steps are hashed and looked up
@@ -69,14 +69,22 @@ def walk_keys(strings: np.ndarray, walk: int) -> np.ndarray:
 def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Levenshtein distance of each row of x to the same row of y."""
     rows, n = x.shape
-    steps = np.arange(y.shape[1] + 1)
-    row = np.broadcast_to(steps, (rows, len(steps))).copy()
+    names = np.unique(np.concatenate([x.ravel(), y.ravel()]), return_inverse=True)[1]
+    small = np.int16 if len(names) and names.max() < 1 << 15 and n + y.shape[1] < 1 << 14 else np.int32
+    xs, ys = names[: x.size].astype(small).reshape(x.shape), names[x.size :].astype(small).reshape(y.shape)
+    # a column of the table at a time, all rows side by side
+    xs, ys = np.ascontiguousarray(xs.T), np.ascontiguousarray(ys.T)
+    m = len(ys)
+    row = np.repeat(np.arange(m + 1, dtype=small)[:, None], rows, axis=1)
+    new = np.empty_like(row)
+    one = small(1)
     for i in range(n):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (y != x[:, i : i + 1]))
-        row = np.minimum.accumulate(new - steps, axis=1) + steps
-    return row[:, -1]
+        new[0] = i + 1
+        np.minimum(row[1:] + one, row[:-1] + (ys != xs[i]), out=new[1:])
+        for j in range(m):
+            np.minimum(new[j + 1], new[j] + one, out=new[j + 1])
+        row, new = new, row
+    return row[-1].astype(np.int64)
 
 
 class Items:
@@ -95,17 +103,21 @@ class Items:
             strings = words[offsets[rows][:, None] + np.arange(n)]
             self.by_length[n] = np.array([ids[r] for r in rows], np.int64), strings
             self.pairs[self.cells(strings.ravel())[np.arange(strings.size - 1) % n != n - 1]] = True
-        # items of each pair, by length: pairs ascending, and where each one's items start
-        self.pair_items = {}
+        # items of all lengths, numbered in order of length: their lengths, and those of each pair
+        self.lengths = np.concatenate([np.full(len(x), n) for n, (_, x) in self.by_length.items()]) if self.by_length else np.zeros(0, np.int64)
+        self.least = np.array([n - 1 - 2 * edits(n, similarity) for n in self.lengths.tolist()], np.int64)
+        pairs, owner, before = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
         for n, (_, strings) in self.by_length.items():
-            pairs = self.hashes(strings.ravel())[np.arange(strings.size - 1) % n != n - 1]
-            owner = np.repeat(np.arange(len(strings)), n - 1)
-            order = np.lexsort((owner, pairs))
-            pairs, owner = pairs[order], owner[order]
-            fresh = np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])])
-            pairs, owner = pairs[fresh], owner[fresh]
-            first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-            self.pair_items[n] = pairs[first], np.append(first, len(pairs)), owner
+            pairs.append(self.hashes(strings.ravel())[np.arange(strings.size - 1) % n != n - 1])
+            owner.append(np.repeat(np.arange(len(strings)), n - 1) + before)
+            before += len(strings)
+        own_pairs, own = np.concatenate(pairs), np.concatenate(owner)
+        order = np.lexsort((own, own_pairs))
+        own_pairs, own = own_pairs[order], own[order]
+        fresh = np.concatenate([[True], (own_pairs[1:] != own_pairs[:-1]) | (own[1:] != own[:-1])])[: len(own)]
+        own_pairs, self.owner = own_pairs[fresh], own[fresh]
+        first = np.flatnonzero(np.concatenate([[True], own_pairs[1:] != own_pairs[:-1]])[: len(own_pairs)])
+        self.known, self.bounds = own_pairs[first], np.append(first, len(own_pairs))
         self.keys = {n: [self._table(walk_keys(strings, w)) for w in range(WALKS)] for n, (_, strings) in self.by_length.items()}
 
     @staticmethod
@@ -123,20 +135,25 @@ class Items:
     def cells(cls, words: np.ndarray) -> np.ndarray:
         return (cls.hashes(words) >> U64(64 - TABLE_BITS)).astype(np.int64)
 
-    def worth(self, n: int, windows: np.ndarray) -> np.ndarray:
-        """Whether some one item of n words has enough of each window's pairs to be within its edit distance."""
-        pairs, bounds, owner = self.pair_items[n]
-        _, strings = self.by_length[n]
-        own = mix(windows[:, :-1] * U64(3) + windows[:, 1:]).ravel()
-        at = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
-        hit = np.flatnonzero(pairs[at] == own)
-        many = bounds[at[hit] + 1] - bounds[at[hit]]
-        vote = np.sort(np.repeat(hit // (n - 1), many) * len(strings) + owner[ragged(bounds[at[hit]], many)])
-        first = np.flatnonzero(np.concatenate([[True], vote[1:] != vote[:-1]])) if len(vote) else np.zeros(0, np.int64)
-        votes = np.diff(np.append(first, len(vote)))
-        out = np.zeros(len(windows), bool)
-        out[vote[first[votes >= n - 1 - 2 * edits(n, self.similarity)]] // len(strings)] = True
-        return out
+    def worth(self, words: np.ndarray, hit: np.ndarray) -> dict[int, np.ndarray]:
+        """By length, the starts of windows with enough pairs of some one item of that length. hit: places of pairs that may be an item's.
+
+        For each item the places of its pairs are in order; where the first
+        and last of as many as are needed lie within its length, so do the windows over them.
+        """
+        own = mix(words[hit] * U64(3) + words[hit + 1])
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        hit, at = hit[self.known[at] == own], at[self.known[at] == own]
+        many = self.bounds[at + 1] - self.bounds[at]
+        place, item = np.repeat(hit, many), self.owner[ragged(self.bounds[at], many)]
+        order = np.argsort(item.astype(np.int32), kind="stable")
+        place, item = place[order], item[order]
+        last = np.arange(len(item)) + self.least[item] - 1
+        inside = np.flatnonzero(last < len(item))
+        inside = inside[(item[last[inside]] == item[inside]) & (place[last[inside]] - place[inside] <= self.lengths[item[inside]] - 2)]
+        n, lo, hi = self.lengths[item[inside]], place[last[inside]] - self.lengths[item[inside]] + 2, place[inside]
+        lo = np.maximum(lo, 0)
+        return {int(k): np.unique(ragged(lo[n == k], hi[n == k] - lo[n == k] + 1)) for k in np.unique(n)}
 
     def matches(self, n: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, distance) of every match that the samples find."""
@@ -152,8 +169,8 @@ class Items:
         pair = np.unique(np.concatenate(found))
         window, item = pair // len(strings), pair % len(strings)
         distance = np.zeros(len(pair), np.int64)
-        for at in range(0, len(pair), 1 << 14):
-            distance[at : at + (1 << 14)] = edit_distances(windows[window[at : at + (1 << 14)]], strings[item[at : at + (1 << 14)]])
+        for at in range(0, len(pair), 1 << 12):
+            distance[at : at + (1 << 12)] = edit_distances(windows[window[at : at + (1 << 12)]], strings[item[at : at + (1 << 12)]])
         good = distance <= edits(n, self.similarity)
         return window[good], item[good], distance[good]
 
@@ -165,22 +182,14 @@ class Items:
         last = np.zeros(len(words), bool)
         last[(offsets[1:] - 1)[np.diff(offsets) > 0]] = True
         hit = self.pairs[self.cells(words)] & ~last[:-1]
-        count = np.concatenate([[0], np.cumsum(hit)])
         left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(words))  # words to the row's end
         row = owners(offsets)
-        for n, (ids, _) in self.by_length.items():
-            if n > len(words):
-                break
-            starts = np.flatnonzero((count[n - 1 :] - count[: len(count) - n + 1])[: len(words) - n + 1] >= n - 1 - 2 * edits(n, self.similarity))
+        for n, starts in self.worth(words, np.flatnonzero(hit)).items():
+            ids, _ = self.by_length[n]
             starts = starts[left[starts] >= n]
             for at in range(0, len(starts), WINDOWS):
                 own = starts[at : at + WINDOWS]
-                windows = words[own[:, None] + np.arange(n)]
-                worth = self.worth(n, windows)
-                if not worth.any():
-                    continue
-                own = own[worth]
-                window, item, distance = self.matches(n, windows[worth])
+                window, item, distance = self.matches(n, words[own[:, None] + np.arange(n)])
                 if len(window):
                     where = own[window]
                     out.append(np.stack([row[where], ids[item], where - offsets[row[where]], np.full(len(where), n), distance], axis=1))
