@@ -68,12 +68,20 @@ def walk_keys(strings: np.ndarray, walk: int) -> np.ndarray:
 
 def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Levenshtein distance of each row of x to the same row of y."""
-    rows, n = x.shape
+    return _distances(*small_words(x, y))
+
+
+def small_words(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same arrays with words numbered in few bits."""
     names = np.unique(np.concatenate([x.ravel(), y.ravel()]), return_inverse=True)[1]
-    small = np.int16 if len(names) and names.max() < 1 << 15 and n + y.shape[1] < 1 << 14 else np.int32
-    xs, ys = names[: x.size].astype(small).reshape(x.shape), names[x.size :].astype(small).reshape(y.shape)
+    small = np.int16 if len(names) and names.max() < 1 << 15 and x.shape[1] + y.shape[1] < 1 << 14 else np.int32
+    return names[: x.size].astype(small).reshape(x.shape), names[x.size :].astype(small).reshape(y.shape)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     # a column of the table at a time, all rows side by side
-    xs, ys = np.ascontiguousarray(xs.T), np.ascontiguousarray(ys.T)
+    (rows, n), small = x.shape, x.dtype.type
+    xs, ys = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
     m = len(ys)
     row = np.repeat(np.arange(m + 1, dtype=small)[:, None], rows, axis=1)
     new = np.empty_like(row)
@@ -169,8 +177,9 @@ class Items:
         pair = np.unique(np.concatenate(found))
         window, item = pair // len(strings), pair % len(strings)
         distance = np.zeros(len(pair), np.int64)
+        x, y = small_words(windows, strings)
         for at in range(0, len(pair), 1 << 12):
-            distance[at : at + (1 << 12)] = edit_distances(windows[window[at : at + (1 << 12)]], strings[item[at : at + (1 << 12)]])
+            distance[at : at + (1 << 12)] = _distances(x[window[at : at + (1 << 12)]], y[item[at : at + (1 << 12)]])
         good = distance <= edits(n, self.similarity)
         return window[good], item[good], distance[good]
 
