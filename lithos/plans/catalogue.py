@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithos.functions import text as X
-from lithos.operators import corpus, evidence, graph, retrieval
+from lithos.operators import chains, corpus, evidence, graph, retrieval
 
 FLAGSHIP = "bm25_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,6 +316,86 @@ def link_pairs(spark, d):
     return a.join(b, F.expr("a.conv_id = b.conv_id and a.turn < b.turn")).select("a.conv_id", F.col("a.turn").alias("turn_a"), F.col("b.turn").alias("turn_b"), F.round(link, 6).alias("link"))
 
 
+BRIDGES, ASKED, MOTIVES, OUTCOMES, TARGETS, COMMITS = ["license", "work", "law", "limitations", "permissions"], ["licensed", "thing"], ["because", "for"], ["result", "may"], ["except", "you"], ["compliance", "agree"]
+
+
+def _has(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+
+
+def _some(words: list[str]) -> str:
+    return f"list_filter(['{(chr(39) + ', ' + chr(39)).join(words)}'], lambda t: contains(low, t))"
+
+
+LINK = """round(least(1e0, CASE WHEN x.story <> '' AND x.story = y.story THEN 45e-2 ELSE 0e0 END + CASE WHEN x.activity <> '' AND x.activity = y.activity AND NOT (x.background AND y.background AND x.story <> y.story) THEN
+2e-1 + CASE WHEN x.stage <> '' AND x.stage = y.stage THEN 25e-2 ELSE 0e0 END + CASE WHEN abs(x.sort - y.sort) <= 1 THEN 25e-2 WHEN abs(x.sort - y.sort) <= 3 THEN 12e-2 ELSE 0e0 END + CASE abs(x.stage_no - y.stage_no) WHEN 0 THEN 22e-2 WHEN 1 THEN 14e-2 ELSE 0e0 END ELSE 0e0 END
++ least(3, len(list_intersect(x.b, y.b))) * 8e-2), 6)"""
+CANDIDATES = f"""{bm25_sql()}, c1 AS (SELECT t.doc_id AS id, t.score AS base, coalesce(lang, '') AS activity, coalesce(source, '') AS story, concat('s', t.doc_id % 3) AS stage, t.doc_id // 50 AS sort, t.doc_id % 5 AS stage_no, contains(text, 'Licensed') AS background, text, lower(text) AS low FROM top t JOIN documents USING (doc_id) WHERE rank < 40),
+c2 AS (SELECT *, {_some(QUERY_TEXT.split())} AS q, {_some(BRIDGES)} AS b, {_has(COMMITS)} AS commits FROM c1),
+c AS (SELECT *, list_filter([CASE WHEN {_has(ASKED)} OR len(q) >= 3 THEN 'action' END, CASE WHEN len(b) >= 2 THEN 'context' END, CASE WHEN {_has(MOTIVES)} AND len(q) + len(b) > 0 THEN 'motive' END, CASE WHEN {_has(OUTCOMES)} AND len(q) + len(b) > 0 THEN 'outcome' END, CASE WHEN {_has(TARGETS)} AND len(b) > 0 THEN 'target' END], lambda r: r IS NOT NULL) AS r FROM c2),
+l AS (SELECT x.id AS a, y.id AS b, {LINK} AS link FROM c x JOIN c y ON x.id <> y.id)"""
+STRICT = f"""{CANDIDATES}, seeds AS (SELECT id FROM c WHERE len(r) > 0 OR len(q) >= 2 OR len(b) >= 2 ORDER BY base DESC, id LIMIT 24),
+p AS (SELECT s.id AS seed, c.*, coalesce(l.link, 1e0) AS link FROM seeds s JOIN c ON true LEFT JOIN l ON l.a = s.id AND l.b = c.id WHERE c.id = s.id OR l.link >= 4e-1),
+m AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY seed ORDER BY len(r) DESC, link DESC, len(b) DESC, base DESC, id) <= 8),
+av AS (SELECT x.seed, avg(l.link) AS av FROM m x JOIN m y ON x.seed = y.seed AND x.id < y.id JOIN l ON l.a = x.id AND l.b = y.id GROUP BY x.seed),
+g AS (SELECT seed, count(*) AS n, list_sort(list_distinct(flatten(list(r)))) AS r, len(list_distinct(flatten(list(q)))) AS nq, len(list_distinct(flatten(list(b)))) AS nb FROM m GROUP BY seed),
+h AS (SELECT *, list_contains(r, 'action') AS ac, list_contains(r, 'outcome') AS oc, list_contains(r, 'motive') AS mo, list_contains(r, 'target') AS ta, list_contains(r, 'context') AS cx FROM g),
+strict AS (SELECT seed, n, r, round(35e-2 * ac::INT + 3e-1 * oc::INT + 25e-2 * mo::INT + 18e-2 * ta::INT + 12e-2 * cx::INT + 25e-2 * (ac AND oc)::INT + 18e-2 * (ac AND mo)::INT + least(nq, 8) * 4e-2 + least(nb, 6) * 6e-2 + coalesce(av, 0e0) * 45e-2 + least(n, 5) * 3e-2, 6) AS score FROM h LEFT JOIN av USING (seed) WHERE len(r) >= 2 AND CASE WHEN ac THEN oc OR ta ELSE mo AND oc END)"""
+BONUS = f"""{STRICT}, best AS (SELECT *, row_number() OVER (ORDER BY score DESC, seed) AS k FROM strict QUALIFY k <= 3),
+bonus AS (SELECT m.id, round(max(least(best.score, 125e-2) * pow(85e-2, k - 1) + 8e-2 * len(m.r) + 12e-2 * list_contains(m.r, 'action')::INT + 11e-2 * list_contains(m.r, 'outcome')::INT + 1e-1 * list_contains(m.r, 'motive')::INT), 6) AS bonus
+FROM best JOIN m USING (seed) WHERE list_has_any(m.r, ['target', 'outcome']) OR (list_contains(m.r, 'action') AND len(list_filter(m.q, lambda t: length(t) >= 4)) > 0) OR (list_contains(m.r, 'motive') AND len(m.b) >= 2 AND m.commits) GROUP BY m.id),
+f AS (SELECT c.id, base, coalesce(bonus, 0e0) AS bonus, background, len(list_filter(q, lambda t: length(t) >= 5)) > 0 AS exact, {_has(ASKED)} AS acts FROM c LEFT JOIN bonus USING (id)),
+focus AS (SELECT *, CASE WHEN exact THEN 105e-2 ELSE 0e0 END + CASE WHEN exact AND acts THEN 35e-2 ELSE 0e0 END + CASE WHEN bonus > 0 THEN 0e0 ELSE CASE WHEN acts AND NOT exact THEN -22e-2 ELSE 0e0 END + CASE WHEN exact THEN 0e0 ELSE -45e-2 END + CASE WHEN acts THEN 0e0 ELSE -2e-1 END END + CASE WHEN background THEN -11e-1 ELSE 8e-1 END AS focus FROM f)"""
+
+
+def _candidates(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    c = _bm25(spark, d, 40).select(F.col("query_id").alias("query"), "doc_id", "score").join(docs, "doc_id").withColumn("low", F.lower("text"))
+    c = c.withColumn("q_terms", chains.present(F.col("low"), QUERY_TEXT.split())).withColumn("b_terms", chains.present(F.col("low"), BRIDGES))
+    c = c.withColumn("roles", chains.evidence_roles(F.col("low"), F.col("q_terms"), F.col("b_terms"), ASKED, MOTIVES, OUTCOMES, TARGETS))
+    return c.select(
+        "query", F.col("doc_id").alias("id"), F.col("score").alias("base"), "roles", "q_terms", "b_terms", F.col("b_terms").alias("chain_terms"), F.coalesce("source", F.lit("")).alias("story"), F.coalesce("lang", F.lit("")).alias("activity"),
+        F.concat(F.lit("s"), F.col("doc_id") % 3).alias("stage"), F.floor(F.col("doc_id") / 50).alias("sort"), (F.col("doc_id") % 5).alias("stage_no"), F.col("text").contains("Licensed").alias("background"), (X.hits(F.col("low"), COMMITS) > 0).alias("commits"), "low",
+    )
+
+
+@query(f"WITH {STRICT} SELECT seed, n AS n_members, r AS roles, score FROM strict")
+def chain_strict(spark, d):
+    return chains.strict_chains(_candidates(spark, d), "query").select("seed", F.size("members").cast("long").alias("n_members"), "roles", "score")
+
+
+@query(f"""WITH {CANDIDATES}, g0 AS (SELECT * REPLACE (CASE WHEN len(r) = 0 AND len(q) + len(b) > 0 THEN ['context'] ELSE r END AS r) FROM c),
+seeds AS (SELECT id, row_number() OVER (ORDER BY len(q) DESC, len(b) DESC, len(r) DESC, base DESC, id) AS place FROM g0 WHERE len(q) > 0 OR len(b) > 0 OR base > 0 QUALIFY place <= 32),
+p AS (SELECT s.id AS seed, s.place, g0.*, coalesce(l.link, 1e0) AS link FROM seeds s JOIN g0 ON true LEFT JOIN l ON l.a = s.id AND l.b = g0.id WHERE g0.id = s.id OR l.link >= 25e-2),
+m AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY seed ORDER BY id = seed DESC, link DESC, len(q) DESC, len(b) DESC, len(r) DESC, base DESC, id) <= 5),
+g AS (SELECT seed, min(place) AS place, list_sort(list(id)) AS members, avg(base) AS mean, list_sort(list_distinct(flatten(list(r)))) AS r, len(list_distinct(flatten(list(q)))) AS nq, len(list_distinct(flatten(list(b)))) AS nb FROM m GROUP BY seed HAVING count(*) >= 2)
+SELECT seed, members, r AS roles, round(least(nq, 8) * 12e-2 + least(nb, 6) * 8e-2 + least(len(r), 4) * 5e-2 + mean * 1e-1, 4) AS score FROM g QUALIFY row_number() OVER (PARTITION BY members ORDER BY place) = 1""")
+def chain_generic(spark, d):
+    out = chains.generic_chains(_candidates(spark, d), "query")
+    return out.select("seed", F.sort_array(F.transform("members", lambda x: x["id"])).alias("members"), "roles", F.round("score", 4).alias("score"))
+
+
+def _focused(spark, d):
+    c = _candidates(spark, d)
+    bonus = chains.chain_bonus(chains.strict_chains(c, "query"), "query")
+    c = c.join(bonus, ["query", "id"], "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
+    kind = F.when(F.col("background"), "background").otherwise("story")
+    asked = [t for t in QUERY_TEXT.split() if len(t) >= 5]
+    return c.withColumn("focus", chains.causal_focus(F.col("low"), F.col("bonus"), asked, ASKED) + chains.source_focus(kind, False, True, False))
+
+
+@query(f"WITH {BONUS} SELECT id AS doc_id, bonus, round(focus, 6) AS focus FROM focus")
+def focus_adjust(spark, d):
+    return _focused(spark, d).select(F.col("id").alias("doc_id"), "bonus", F.round("focus", 6).alias("focus"))
+
+
+@query(f"WITH {BONUS} SELECT id AS doc_id, round(base + bonus + focus, 5) AS score, row_number() OVER (ORDER BY round(base + bonus + focus, 5) DESC, id) - 1 AS rank FROM focus QUALIFY rank < 20")
+def chain_rerank(spark, d):
+    scored = _focused(spark, d).select("query", F.col("id").alias("doc_id"), F.round(F.col("base") + F.col("bonus") + F.col("focus"), 5).alias("score"))
+    place = (F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")) - 1).cast("long")
+    return scored.withColumn("rank", place).where("rank < 20").select("doc_id", "score", "rank")
+
+
 SIM = "list_distinct(regexp_extract_all(lower(regexp_replace(text, '\\s+', '', 'g')), '[a-z0-9_]{2,}'))"
 
 @query(f"""WITH x AS (SELECT doc_id, {SIM} AS t, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents QUALIFY rank < 40),
