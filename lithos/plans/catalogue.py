@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithos.functions import text as X
-from lithos.operators import chains, corpus, evidence, graph, retrieval
+from lithos.operators import chains, corpus, evidence, graph, retrieval, support
 
 FLAGSHIP = "bm25_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -396,6 +396,29 @@ def chain_rerank(spark, d):
     return scored.withColumn("rank", place).where("rank < 20").select("doc_id", "score", "rank")
 
 
+DEFINERS = ["Licensed", "means", "under"]
+
+
+@query("""WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS t FROM documents),
+y AS (SELECT doc_id, contains(t, 'Apache')::INT AS a1, contains(t, 'License')::INT AS a2, contains(t, 'Licensed')::INT + contains(t, 'means')::INT + contains(t, 'under')::INT AS m,
+regexp_matches(t, 'Apache.{0,32}(?:Licensed|means|under)|(?:Licensed|means|under).{0,32}Apache')::INT AS n1, regexp_matches(t, 'License.{0,32}(?:Licensed|means|under)|(?:Licensed|means|under).{0,32}License')::INT AS n2 FROM x),
+z AS (SELECT doc_id, CASE WHEN a1 + a2 = 0 THEN 0 ELSE 4 * (a1 + a2) + m + 3 * (a1 * n1 + a2 * n2) END AS score FROM y)
+SELECT doc_id, score::BIGINT AS score FROM z WHERE score >= 7 ORDER BY score DESC, doc_id LIMIT 10""")
+def definition_best(spark, d):
+    score = support.definition(F.col("text"), ["Apache", "License"], DEFINERS).cast("long")
+    return read(spark, d, "documents").select("doc_id", score.alias("score")).where(F.col("score") >= support.LEAST_DEFINITION).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@query(f"""WITH x AS (SELECT doc_id, coalesce(source, '') AS source, lower(coalesce(text, '')) AS low FROM documents),
+y AS (SELECT doc_id, source, len({_some(["because", "for", "result"])}) AS m, len({_some(["thing", "apache"])}) AS x, len({_some(["use", "agree"])}) AS a, {_has(["because"])} AS direct FROM x),
+z AS (SELECT *, CASE WHEN m > 0 AND x + a > 0 THEN least(m, 4) * 42e-2 + least(x, 2) * 28e-2 + least(a, 2) * 35e-2 WHEN x > 0 AND a > 0 THEN 35e-2 ELSE 0e0 END + CASE WHEN m >= 2 AND source = 'src1' THEN 55e-2 ELSE 0e0 END AS score FROM y)
+SELECT doc_id, round(CASE WHEN source = 'src2' AND (NOT direct OR a = 0) THEN least(score, 2e-1) - 12e-1 ELSE score END, 6) AS bonus FROM z""")
+def causality_support(spark, d):
+    source = F.coalesce("source", F.lit(""))
+    bonus = support.causality(F.lower("text"), ["thing", "apache"], ["use", "agree"], ["because", "for", "result"], ["because"], source == "src1", source == "src2")
+    return read(spark, d, "documents").select("doc_id", F.round(bonus, 6).alias("bonus"))
+
+
 SIM = "list_distinct(regexp_extract_all(lower(regexp_replace(text, '\\s+', '', 'g')), '[a-z0-9_]{2,}'))"
 
 @query(f"""WITH x AS (SELECT doc_id, {SIM} AS t, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents QUALIFY rank < 40),
