@@ -389,9 +389,9 @@ def focus_adjust(spark, d):
     return _focused(spark, d).select(F.col("id").alias("doc_id"), "bonus", F.round("focus", 6).alias("focus"))
 
 
-@query(f"WITH {BONUS} SELECT id AS doc_id, round(base + bonus + focus, 5) AS score, row_number() OVER (ORDER BY round(base + bonus + focus, 5) DESC, id) - 1 AS rank FROM focus QUALIFY rank < 20")
+@query(f"WITH {BONUS} SELECT id AS doc_id, round(base + bonus + focus, 6) AS score, row_number() OVER (ORDER BY round(base + bonus + focus, 6) DESC, id) - 1 AS rank FROM focus QUALIFY rank < 20")
 def chain_rerank(spark, d):
-    scored = _focused(spark, d).select("query", F.col("id").alias("doc_id"), F.round(F.col("base") + F.col("bonus") + F.col("focus"), 5).alias("score"))
+    scored = _focused(spark, d).select("query", F.col("id").alias("doc_id"), F.round(F.col("base") + F.col("bonus") + F.col("focus"), 6).alias("score"))
     place = (F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")) - 1).cast("long")
     return scored.withColumn("rank", place).where("rank < 20").select("doc_id", "score", "rank")
 
