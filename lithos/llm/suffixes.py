@@ -6,8 +6,8 @@ equal SPAN-byte strings have the same anchor, the SEED-byte string in them
 with the least hash, so suffixes are dealt to buckets by the anchor's hash,
 and only a few hundredths of all positions are anchors.
 
-1. Each chunk of documents sends the hashes of its anchors to their buckets,
-   which answer with those that two documents have.
+1. Each chunk of documents sends short hashes of its anchors to their buckets,
+   which answer with a bit for each: whether two documents have it.
 2. Around these, chunks send the context: all bytes that SPAN-byte strings
    with this anchor can have. Where a bucket has one context only for an
    anchor, its smallest doc_id decides. Where there are several, the bucket
@@ -42,6 +42,19 @@ _OUT = 0xFF
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: Contexts whose suffixes are sorted at once; one anchor's are never parted.
 SORTED = 4_000
+#: Anchors hashed at once.
+_PART = 1 << 16
+
+
+def _packed(*columns: np.ndarray) -> np.ndarray:
+    """One integer an element, ordered as the columns are, the first one first."""
+    out = columns[0]
+    for column in columns[1:]:
+        size = int(column.max()) + 1
+        if int(out.max()) >= (1 << 62) // size:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * size + column
+    return out
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -53,9 +66,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n0, n1, n2 = (n + 2) // 3, (n + 1) // 3, n // 3
     extra = n0 - n1  # a sample more, of the empty suffix, if n mod 3 is 1
     sample = np.concatenate([np.arange(1, n + extra, 3), np.arange(2, n, 3)])
-    order = sample[np.lexsort((t[sample + 2], t[sample + 1], t[sample]))]
-    fresh = (t[order[1:]] != t[order[:-1]]) | (t[order[1:] + 1] != t[order[:-1] + 1]) | (t[order[1:] + 2] != t[order[:-1] + 2])
-    names = np.concatenate([[1], 1 + np.cumsum(fresh)])
+    triples = _packed(t[sample], t[sample + 1], t[sample + 2])
+    by_triple = np.argsort(triples)
+    order, triples = sample[by_triple], triples[by_triple]
+    names = np.concatenate([[1], 1 + np.cumsum(triples[1:] != triples[:-1])])
     split = n0  # samples of residue 1
     place = np.where(order % 3 == 1, order // 3, order // 3 + split)
     if names[-1] < len(order):
@@ -65,21 +79,13 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank = np.zeros(n + 3, np.int64)
     sa12 = np.where(place < split, place * 3 + 1, (place - split) * 3 + 2)
     rank[sa12] = np.arange(1, len(sa12) + 1)
-    first = np.arange(0, n, 3)
-    sa0 = first[np.lexsort((rank[first + 1], t[first]))]
     sa12 = sa12[sa12 < n]
-    # merge: a residue-0 suffix goes before those sampled ones that are larger; found by bisection on the comparison
-    lo, hi = np.zeros(len(sa0), np.int64), np.full(len(sa0), len(sa12), np.int64)
-    while (on := np.flatnonzero(lo < hi)).size:
-        mid = (lo[on] + hi[on]) // 2
-        i, j = sa12[mid], sa0[on]
-        one = i % 3 == 1
-        a1, b1 = t[i], t[j]
-        a2, b2 = np.where(one, rank[i + 1], t[i + 1]), np.where(one, rank[j + 1], t[j + 1])
-        a3, b3 = np.where(one, 0, rank[np.minimum(i + 2, n + 2)]), np.where(one, 0, rank[np.minimum(j + 2, n + 2)])
-        less = (a1 < b1) | ((a1 == b1) & ((a2 < b2) | ((a2 == b2) & (a3 < b3))))
-        lo[on] = np.where(less, mid + 1, lo[on])
-        hi[on] = np.where(less, hi[on], mid)
+    # a suffix of residue 0 compares with one of residue 1 by its first letter and the next one's rank, with one of residue 2 by two letters and a rank
+    one, two = _packed(t[:n], rank[1 : n + 1]), _packed(t[:n], t[1 : n + 1], rank[2 : n + 2])
+    sa0 = np.arange(0, n, 3)
+    sa0 = sa0[np.argsort(one[sa0])]
+    residue = sa12 % 3
+    lo = np.searchsorted(one[sa12[residue == 1]], one[sa0]) + np.searchsorted(two[sa12[residue == 2]], two[sa0])
     out = np.zeros(n, np.int64)
     at = lo + np.arange(len(sa0))
     rest = np.ones(n, bool)
@@ -137,10 +143,11 @@ def repeated_masks(ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
         part = slice(at, at + (1 << 16))
         here = ctx[rows[part][:, None], shift[part][:, None] + np.arange(SPAN)]
         size[part] = (here != _OUT).all(1)
-        before = slice(max(0, at - 1), min(len(order), at + (1 << 16)) - 1)
-        prior = ctx[rows[before][:, None], shift[before][:, None] + np.arange(SPAN)]
-        same = (here[-len(prior) :] == prior).all(1)
-        size[part][-len(prior) :] |= same.astype(size.dtype) << 1
+        same = (here[1:] == here[:-1]).all(1)
+        size[part][1:] |= same.astype(size.dtype) << 1
+        if at:
+            size[at] |= int((here[0] == last).all()) << 1
+        last = here[-1]
     group = np.cumsum((size & 2) == 0) - 1
     least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, doc[rows])
@@ -197,12 +204,14 @@ def remove_repeats(docs: DataFrame, key: str, text: str, with_kept: bool = False
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         several = doc[np.append(first[1:], len(h)) - 1] != doc[first] if len(h) else np.zeros(0, bool)
         h = h[first]
-        out = [(b, key[0].as_py(), h[i].tobytes(), several[i].tobytes()) for b, i in _by_bucket(h, buckets)]
-        return pa.table([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "h", "several"])
+        # inside a bucket 31 bits will do: a false match costs a context that the bucket then tells apart
+        short = ((h & U64(0x7FFFFFFF)) << U64(1) | several.astype(U64)).astype(np.uint32)
+        out = [(b, key[0].as_py(), short[i].tobytes()) for b, i in _by_bucket(h, buckets)]
+        return pa.table([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "chunk", "h"])
 
     def shared(table: pa.Table) -> pa.Table:
-        h, n = _joined(table.column("h"), U64)
-        several, _ = _joined(table.column("several"), np.bool_)
+        h, n = _joined(table.column("h"), np.uint32)
+        several, h = (h & 1).astype(bool), h >> 1
         order = np.argsort(h, kind="stable")
         s = h[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
@@ -211,26 +220,33 @@ def remove_repeats(docs: DataFrame, key: str, text: str, with_kept: bool = False
         hit = np.zeros(len(h), bool)
         hit[order] = np.repeat(good, count)
         ends = np.cumsum(n)
-        return pa.table([table.column("chunk").cast(pa.int32()), pa.array([h[a:b][hit[a:b]].tobytes() for a, b in zip(ends - n, ends, strict=True)], pa.binary())], ["chunk", "h"])
+        bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(ends - n, ends, strict=True)]
+        return pa.table([*[table.column(k).cast(pa.int32()) for k in ("chunk", "bucket")], pa.array(bits, pa.binary())], ["chunk", "bucket", "hits"])
 
     def show(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         out = []
         if len(table) and len(answer):
             c = _Chunk(table)
-            some = np.flatnonzero(np.isin(c.h, _joined(answer.column("h"), U64)[0]))
+            asked = np.unique(c.h)  # each bucket's part in the order in which it was asked
+            hits = dict(zip(answer.column("bucket").to_pylist(), answer.column("hits").to_pylist(), strict=True))
+            good = np.zeros(len(asked), bool)
+            for b, i in _by_bucket(asked, buckets):
+                good[i] = np.unpackbits(np.frombuffer(hits[b], np.uint8), count=len(i))
+            some = np.flatnonzero(good[np.searchsorted(asked, c.h)]) if len(asked) else np.zeros(0, np.int64)
             h, ctx, doc = c.h[some], contexts(c.data, c.offsets, c.row[some], c.at[some]), c.ids[c.row[some]]
-            order = np.lexsort((doc, context_hashes(ctx), h))
-            name = mix(h ^ context_hashes(ctx))[order]
+            by_context = context_hashes(ctx)
+            order = np.lexsort((doc, by_context, h))
+            name = mix(h ^ by_context)[order]
             order = order[np.concatenate([[True], name[1:] != name[:-1]])] if len(order) else order
             h, ctx, doc = h[order], ctx[order], doc[order]
-            out = [(b, key[0].as_py(), h[i].tobytes(), ctx[i].tobytes(), doc[i].astype(np.int64).tobytes()) for b, i in _by_bucket(h, buckets)]
-        return pa.table([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["bucket", "chunk", "h", "ctx", "doc"])
+            out = [(b, key[0].as_py(), ctx[i].tobytes(), doc[i].astype(np.int64).tobytes()) for b, i in _by_bucket(h, buckets)]
+        return pa.table([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], ["bucket", "chunk", "ctx", "doc"])
 
     def decide(table: pa.Table) -> pa.Table:
-        h, n = _joined(table.column("h"), U64)
         ctx = _joined(table.column("ctx"), np.uint8)[0].reshape(-1, _CONTEXT)
-        doc, _ = _joined(table.column("doc"), np.int64)
+        doc, n = _joined(table.column("doc"), np.int64)
+        h = np.concatenate([Rolling(np.ascontiguousarray(ctx[i : i + _PART, _REACH:SPAN]).ravel()).windows(SEED)[::SEED] for i in range(0, len(ctx), _PART)] or [np.zeros(0, U64)])
         name = context_hashes(ctx)
         order = np.lexsort((doc, name, h))
         fresh_h = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
@@ -297,9 +313,9 @@ def remove_repeats(docs: DataFrame, key: str, text: str, with_kept: bool = False
         return pa.table(columns + [pa.array(kept, pa.binary())] * with_kept, names + ["kept"] * with_kept)
 
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, h binary, several binary")
-    answered = asked.groupBy("bucket").applyInArrow(shared, "chunk int, h binary")
-    shown = dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(show, "bucket int, chunk int, h binary, ctx binary, doc binary")
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, h binary")
+    answered = asked.groupBy("bucket").applyInArrow(shared, "chunk int, bucket int, hits binary")
+    shown = dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(show, "bucket int, chunk int, ctx binary, doc binary")
     decided = shown.groupBy("bucket").applyInArrow(decide, "chunk int, name binary, least binary, mask binary")
     out = dealt.groupBy("chunk").cogroup(decided.groupBy("chunk")).applyInArrow(remove, result)
     loose = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"), *[F.encode("text", "utf-8").alias("kept")] * with_kept)
