@@ -42,13 +42,11 @@ _OUT = 0xFF
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: Contexts whose suffixes are sorted at once; one anchor's are never parted.
 SORTED = 4_000
-#: Anchors hashed at once.
-_PART = 1 << 16
 
 
 def _packed(*columns: np.ndarray) -> np.ndarray:
     """One integer an element, ordered as the columns are, the first one first."""
-    out = columns[0]
+    out = columns[0].astype(np.int64)
     for column in columns[1:]:
         size = int(column.max()) + 1
         if int(out.max()) >= (1 << 62) // size:
@@ -62,31 +60,42 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s.astype(np.int64) + 1, np.zeros(3, np.int64)])
+    narrow = np.int32 if max(n, int(s.max())) < (1 << 31) - 8 else np.int64
+    t = np.zeros(n + 3, narrow)
+    t[:n] = s
+    t[:n] += 1
     n0, n1, n2 = (n + 2) // 3, (n + 1) // 3, n // 3
     extra = n0 - n1  # a sample more, of the empty suffix, if n mod 3 is 1
-    sample = np.concatenate([np.arange(1, n + extra, 3), np.arange(2, n, 3)])
-    triples = _packed(t[sample], t[sample + 1], t[sample + 2])
+    order = np.concatenate([np.arange(1, n + extra, 3, dtype=narrow), np.arange(2, n, 3, dtype=narrow)])
+    triples = _packed(t[order], t[order + 1], t[order + 2])
     by_triple = np.argsort(triples)
-    order, triples = sample[by_triple], triples[by_triple]
-    names = np.concatenate([[1], 1 + np.cumsum(triples[1:] != triples[:-1])])
+    order, triples = order[by_triple], triples[by_triple]
+    names = np.ones(len(order), narrow)
+    names[1:] += np.cumsum(triples[1:] != triples[:-1], dtype=narrow)
+    del triples, by_triple
     split = n0  # samples of residue 1
     place = np.where(order % 3 == 1, order // 3, order // 3 + split)
-    if names[-1] < len(order):
-        recursed = np.zeros(len(sample), np.int64)
+    del order
+    if names[-1] < len(place):
+        recursed = np.zeros(len(place), narrow)
         recursed[place] = names
+        del names, place  # what is held during the recursion counts
         place = suffix_array(recursed)
-    rank = np.zeros(n + 3, np.int64)
+        del recursed
     sa12 = np.where(place < split, place * 3 + 1, (place - split) * 3 + 2)
+    del place
+    rank = np.zeros(n + 3, narrow)
     rank[sa12] = np.arange(1, len(sa12) + 1)
     sa12 = sa12[sa12 < n]
     # a suffix of residue 0 compares with one of residue 1 by its first letter and the next one's rank, with one of residue 2 by two letters and a rank
-    one, two = _packed(t[:n], rank[1 : n + 1]), _packed(t[:n], t[1 : n + 1], rank[2 : n + 2])
-    sa0 = np.arange(0, n, 3)
-    sa0 = sa0[np.argsort(one[sa0])]
-    residue = sa12 % 3
-    lo = np.searchsorted(one[sa12[residue == 1]], one[sa0]) + np.searchsorted(two[sa12[residue == 2]], two[sa0])
-    out = np.zeros(n, np.int64)
+    sa0, residue = np.arange(0, n, 3, dtype=narrow), sa12 % 3
+    key = _packed(t[:n], rank[1 : n + 1])
+    sa0 = sa0[np.argsort(key[sa0])]
+    lo = np.searchsorted(key[sa12[residue == 1]], key[sa0])
+    key = _packed(t[:n], t[1 : n + 1], rank[2 : n + 2])
+    lo += np.searchsorted(key[sa12[residue == 2]], key[sa0])
+    del key, residue
+    out = np.zeros(n, narrow)
     at = lo + np.arange(len(sa0))
     rest = np.ones(n, bool)
     rest[at] = False
@@ -124,7 +133,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndar
 
 
 def context_hashes(ctx: np.ndarray) -> np.ndarray:
-    words = np.ascontiguousarray(ctx).view(U64)
+    """Of the bytes of each row."""
+    words = np.ascontiguousarray(np.pad(ctx, ((0, 0), (0, -ctx.shape[1] % 8)))).view(U64)
     out = np.zeros(len(ctx), U64)
     for j in range(words.shape[1]):
         out = mix(out ^ words[:, j] * U64(0x9E3779B97F4A7C15) ^ U64(j))
@@ -136,7 +146,8 @@ def repeated_masks(ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
     n = len(ctx)
     text = np.concatenate([ctx, np.full((n, 1), 256, ctx.dtype if ctx.dtype != np.uint8 else np.uint16)], axis=1).ravel()
     order = suffix_array(text)
-    order = order[order % (_CONTEXT + 1) <= _REACH]
+    order = order[order % (_CONTEXT + 1) <= _REACH].astype(np.int64)
+    del text
     rows, shift = order // (_CONTEXT + 1), order % (_CONTEXT + 1)
     size = np.full(len(order), 0)
     for at in range(0, len(order), 1 << 16):  # prefixes of neighbours
@@ -157,6 +168,11 @@ def repeated_masks(ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _zstd() -> pa.Codec:
+    """Contexts overlap and are text: half of what the shuffle's own compression leaves."""
+    return pa.Codec("zstd", 3)
+
+
 def _by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Buckets and the places of their hashes."""
     bucket = ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
@@ -237,16 +253,17 @@ def remove_repeats(docs: DataFrame, key: str, text: str, with_kept: bool = False
             h, ctx, doc = c.h[some], contexts(c.data, c.offsets, c.row[some], c.at[some]), c.ids[c.row[some]]
             by_context = context_hashes(ctx)
             order = np.lexsort((doc, by_context, h))
-            name = mix(h ^ by_context)[order]
+            name = by_context[order]
             order = order[np.concatenate([[True], name[1:] != name[:-1]])] if len(order) else order
             h, ctx, doc = h[order], ctx[order], doc[order]
-            out = [(b, key[0].as_py(), ctx[i].tobytes(), doc[i].astype(np.int64).tobytes()) for b, i in _by_bucket(h, buckets)]
+            out = [(b, key[0].as_py(), _zstd().compress(ctx[i].tobytes(), asbytes=True), doc[i].astype(np.int64).tobytes()) for b, i in _by_bucket(h, buckets)]
         return pa.table([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], ["bucket", "chunk", "ctx", "doc"])
 
     def decide(table: pa.Table) -> pa.Table:
-        ctx = _joined(table.column("ctx"), np.uint8)[0].reshape(-1, _CONTEXT)
         doc, n = _joined(table.column("doc"), np.int64)
-        h = np.concatenate([Rolling(np.ascontiguousarray(ctx[i : i + _PART, _REACH:SPAN]).ravel()).windows(SEED)[::SEED] for i in range(0, len(ctx), _PART)] or [np.zeros(0, U64)])
+        packed = table.column("ctx")
+        ctx = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(_zstd().decompress(x.as_buffer(), k * _CONTEXT), np.uint8) for x, k in zip(packed, n.tolist(), strict=True))]).reshape(-1, _CONTEXT)
+        h = context_hashes(ctx[:, _REACH:SPAN])
         name = context_hashes(ctx)
         order = np.lexsort((doc, name, h))
         fresh_h = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
@@ -269,9 +286,8 @@ def remove_repeats(docs: DataFrame, key: str, text: str, with_kept: bool = False
         least, own = doc[rep][kind], mask[kind]
         ends = np.cumsum(n)
         cuts = list(zip(ends - n, ends, strict=True))
-        keys = mix(h ^ name)
         return pa.table(
-            [table.column("chunk").cast(pa.int32()), *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (keys, least, own)]],
+            [table.column("chunk").cast(pa.int32()), *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (name, least, own)]],
             ["chunk", "name", "least", "mask"],
         )
 
@@ -286,7 +302,7 @@ def remove_repeats(docs: DataFrame, key: str, text: str, with_kept: bool = False
             name = np.zeros(len(c.at), U64)
             for at in range(0, len(c.at), 1 << 16):
                 part = slice(at, at + (1 << 16))
-                name[part] = mix(c.h[part] ^ context_hashes(contexts(c.data, c.offsets, c.row[part], c.at[part])))
+                name[part] = context_hashes(contexts(c.data, c.offsets, c.row[part], c.at[part]))
             place = np.minimum(np.searchsorted(names, name), max(0, len(names) - 1))
             known = names[place] == name if len(names) else np.zeros(len(name), bool)
             doc = c.ids[c.row]
