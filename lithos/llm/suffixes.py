@@ -108,13 +108,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(data) < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     hashes = Rolling(data).windows(SEED)
-    least, where = hashes, np.arange(len(hashes), dtype=np.int32)
-    for step in (1, 2, 4, 8, _REACH - 15):
-        left = least[:-step] <= least[step:]
-        least, where = np.where(left, least[:-step], least[step:]), np.where(left, where[:-step], where[step:])
-    inside = np.zeros(len(least), bool)
-    ends = np.minimum(offsets[1:] - SPAN + 1, len(least))
-    steps = np.zeros(len(least) + 1, np.int32)
+    where = np.zeros(len(hashes) - _REACH, np.int32)
+    for at in range(0, len(where), _BLOCK):
+        least = hashes[at : at + _BLOCK + _REACH]
+        place = np.arange(at, at + len(least), dtype=np.int32)
+        for step in (1, 2, 4, 8, _REACH - 15):
+            left = least[:-step] <= least[step:]
+            least, place = np.minimum(least[:-step], least[step:]), np.where(left, place[:-step], place[step:])
+        where[at : at + len(place)] = place
+    ends = np.minimum(offsets[1:] - SPAN + 1, len(where))
+    steps = np.zeros(len(where) + 1, np.int32)
     some = ends > offsets[:-1]
     np.add.at(steps, offsets[:-1][some], 1)
     np.add.at(steps, ends[some], -1)
@@ -125,10 +128,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def contexts(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(anchors, _CONTEXT) bytes around each anchor, _OUT outside of its document."""
-    index = at[:, None] + np.arange(-_REACH, SPAN)
-    outside = (index < offsets[doc][:, None]) | (index >= offsets[doc + 1][:, None])
-    out = data[np.clip(index, 0, len(data) - 1)]
-    out[outside] = _OUT
+    if not len(at):
+        return np.zeros((0, _CONTEXT), np.uint8)
+    padded = np.pad(data, (_REACH, SPAN))
+    out = np.lib.stride_tricks.sliding_window_view(padded, _CONTEXT)[at]
+    before, after = at - offsets[doc], offsets[doc + 1] - at  # bytes of the document on either side
+    edge = np.flatnonzero((before < _REACH) | (after < SPAN))
+    place = np.arange(-_REACH, SPAN)
+    part = out[edge]
+    part[(place < -before[edge][:, None]) | (place >= after[edge][:, None])] = _OUT
+    out[edge] = part
     return out
 
 
@@ -168,6 +177,10 @@ def repeated_masks(ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Positions whose minima are found at once, in the processor's cache.
+_BLOCK = 1 << 14
+
+
 def _zstd() -> pa.Codec:
     """Contexts overlap and are text: half of what the shuffle's own compression leaves."""
     return pa.Codec("zstd", 3)
@@ -194,7 +207,9 @@ class _Chunk:
         self.ids = table.column("doc_id").to_numpy()
         self.data, self.offsets = flat(table.column("text"))
         self.starts, self.anchor, self.hashes = anchors(self.data, self.offsets)
-        self.at = np.unique(self.anchor)
+        fresh = np.ones(len(self.anchor), bool)
+        fresh[1:] = self.anchor[1:] != self.anchor[:-1]  # anchors never go back: of equal ones the first is taken
+        self.at, self.mine = self.anchor[fresh], np.cumsum(fresh, dtype=np.int32) - 1
         self.row = np.searchsorted(self.offsets, self.at, "right") - 1
         self.h = self.hashes[self.at] if len(self.at) else np.zeros(0, U64)
 
@@ -308,11 +323,10 @@ def remove_repeats(docs: DataFrame, key: str, text: str, with_kept: bool = False
             doc = c.ids[c.row]
             whole = known & (doc > least[place]) if len(names) else known
             bits = np.where(known & ~whole, mask[place], U64(0)) if len(names) else np.zeros(len(name), U64)
-            mine = np.searchsorted(c.at, c.anchor)
             shift = (c.starts - c.anchor + _REACH).astype(U64)
-            hit = c.starts[whole[mine] | ((bits[mine] >> shift) & U64(1)).astype(bool)]
-            np.add.at(gone, hit, 1)
-            np.add.at(gone, hit + SPAN, -1)
+            hit = c.starts[whole[c.mine] | ((bits[c.mine] >> shift) & U64(1)).astype(bool)]
+            gone[hit] += 1
+            gone[hit + SPAN] -= 1
         return _report(c.ids, c.data, c.offsets, np.cumsum(gone[:-1]) > 0)
 
     def _report(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> pa.Table:
