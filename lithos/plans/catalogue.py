@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithos.functions import text as X
-from lithos.operators import chains, corpus, evidence, graph, retrieval, support
+from lithos.operators import answers, chains, corpus, evidence, graph, retrieval, support
 
 FLAGSHIP = "bm25_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -544,3 +544,44 @@ def history_window(spark, d):
 @query()
 def json_repair(spark, d):
     return read(spark, d, "events").select("event_id", evidence.repaired(F.expr("substring(props, 1, length(props) - 1)")).alias("props"))
+
+
+_SPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '\A{_SPACE}+|{_SPACE}+\z', '', 'g')"
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, text, role || ': <think>' || text || '</think>' || chr(10) || 'warning: low' || chr(10) || text || ' [end of text]' || chr(10) || 'load_ model' AS raw, role || ':' AS prompt FROM conversations),
+a AS (SELECT conv_id, turn, {_strip("substr(raw, length(prompt) + 1)")} AS t FROM x),
+b AS (SELECT conv_id, turn, {_strip(f"regexp_replace(t, '(?s)<think>.*?</think>{_SPACE}*', '', 'g')")} AS t FROM a),
+c AS (SELECT conv_id, turn, {_strip("regexp_replace(t, '(?m)^warning:.*$', '', 'g')")} AS t FROM b),
+d AS (SELECT conv_id, turn, {_strip("regexp_replace(t, '(?m)^(main|common_|llama_|load_|print_info:|system_info:|sampler ).*$', '', 'g')")} AS t FROM c)
+SELECT conv_id, turn, {_strip("replace(t, '[end of text]', '')")} AS answer FROM d""")
+def clean_output(spark, d):
+    c = read(spark, d, "conversations")
+    raw = F.concat("role", F.lit(": <think>"), "text", F.lit("</think>\nwarning: low\n"), "text", F.lit(" [end of text]\nload_ model"))
+    return c.select("conv_id", "turn", answers.clean_output(raw, F.concat("role", F.lit(":"))).alias("answer"))
+
+
+@query(rf"""WITH x AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[、,，;；]{_SPACE}*'), lambda s: {_strip("s")}), lambda s: s <> '') AS l FROM documents),
+y AS (SELECT doc_id, list_filter(l, lambda s, i: list_position(l, s) = i) AS l FROM x)
+SELECT doc_id, len(l[1:6]) AS n, array_to_string(l[1:6], '|') AS items FROM y""")
+def string_list(spark, d):
+    x = read(spark, d, "documents").select("doc_id", answers.string_list(F.col("text"), 6).alias("l"))
+    return x.select("doc_id", F.size("l").cast("long").alias("n"), F.array_join("l", "|").alias("items"))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'abstain' ELSE 'answer' END AS action, list_filter(['not', 'cannot', 'sorry'], lambda m: contains(coalesce(text, ''), m)) AS m FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, action = 'abstain' OR len(m) > 0 AS abstains, array_to_string(m, ' ') AS markers FROM x""")
+def abstain_answers(spark, d):
+    c = read(spark, d, "conversations").where("role = 'assistant'")
+    action, markers = F.when(F.col("turn") % 5 == 4, "abstain").otherwise("answer"), ["not", "cannot", "sorry"]
+    return c.select("conv_id", "turn", answers.abstains(action, F.col("text"), markers).alias("abstains"), F.array_join(answers.abstain_markers(F.col("text"), markers), " ").alias("markers"))
+
+
+@query(rf"""WITH x AS (SELECT source, doc_id, {_strip(f"regexp_replace(coalesce(text, ''), '{_SPACE}+', ' ', 'g')")} AS t, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 3)
+SELECT source, rank, doc_id, CASE WHEN length(t) > 900 THEN {_strip("substr(t, 1, 899)")} || '…' ELSE t END AS text FROM x""")
+def abstain_evidence(spark, d):
+    return answers.abstain_evidence(read(spark, d, "documents"), "source", [F.desc("n_chars"), F.col("doc_id")], "text").select("source", F.col("rank").cast("long").alias("rank"), "doc_id", "text")
