@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lithos.llm import decontaminate, language, lines, minhash, neighbours, packing, pages, sharding, suffixes, urls
+from lithos.llm import buckets, decontaminate, language, lines, minhash, neighbours, packing, pages, sharding, suffixes, urls
 from lithos.llm.components import connected_components
 from lithos.llm.tokens import WordTokenizer
 
@@ -79,6 +79,14 @@ def test_repeated_lines_go(spark):
     assert lines.dedupe_lines(docs_of(spark, rows).where("false"), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("small", [1, 16])
+def test_bucket_size_does_not_decide_lines(spark, monkeypatch, small):
+    monkeypatch.setattr(buckets, "SMALL", small)
+    one = "gqk hgo yqj cxhwbl yekj pko fdkq xelr te lsil pm yzlcat"
+    df = docs_of(spark, [(1, one), (2, one.replace("te lsil", "lvxv lsil"))])
+    assert [tuple(r) for r in lines.duplicate_lines(df, "doc_id", "text").collect()] == [(2, 0)]
+
+
 def test_leaks_reach_recall():
     rng = random.Random(2)
     items = [words(rng, rng.randint(14, 59)) for _ in range(40)]
