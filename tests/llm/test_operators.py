@@ -87,6 +87,38 @@ def test_bucket_size_does_not_decide_lines(spark, monkeypatch, small):
     assert [tuple(r) for r in lines.duplicate_lines(df, "doc_id", "text").collect()] == [(2, 0)]
 
 
+def fuzzy_lines(rng, sizes, share):
+    """Pairs of lines; in the second one `share` of the words are others."""
+    made = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    out = []
+    for n in sizes:
+        a = [made() for _ in range(n)]
+        b = list(a)
+        for i in rng.sample(range(n), max(1, int(share * n))):
+            b[i] = made()
+        out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def edit_similarity(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return 1 - last[-1] / max(len(a), len(b))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.2])
+def test_planted_fuzzy_lines_are_found(spark, share):
+    pairs = fuzzy_lines(random.Random(7), [6, 10, 20, 40] * 25, share)
+    df = docs_of(spark, [(2 * i + j, x) for i, pair in enumerate(pairs) for j, x in enumerate(pair)])
+    got = {r.doc_id // 2 for r in lines.duplicate_lines(df, "doc_id", "text").collect()}
+    want = {i for i, (a, b) in enumerate(pairs) if edit_similarity(a, b) >= 0.8}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 20
+
+
 def test_leaks_reach_recall():
     rng = random.Random(2)
     items = [words(rng, rng.randint(14, 59)) for _ in range(40)]
