@@ -119,6 +119,12 @@ def test_planted_fuzzy_lines_are_found(spark, share):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 20
 
 
+def test_lines_of_few_words_go(spark):
+    rows = [(1, "and ornd\n\n-----\n***\n"), (2, "And ornd!\n\n ----- \n---\n你好世界今天天气很好我们去公园"), (3, "你好世界今天天气很好我们去公园\n你好世界今天天气真好我们去公园\neding in the\neding im the")]
+    got = {tuple(r) for r in lines.duplicate_lines(docs_of(spark, rows), "doc_id", "text").collect()}
+    assert got == {(2, 0), (2, 2), (3, 0), (3, 1), (3, 3)}
+
+
 def test_leaks_reach_recall():
     rng = random.Random(2)
     items = [words(rng, rng.randint(14, 59)) for _ in range(40)]
