@@ -34,6 +34,7 @@ RUN, COVERED = 4, 0.8
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[/a-zA-Z!?][^>]*\Z|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW = frozenset("script style noscript template iframe object svg textarea title".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -79,7 +80,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of the blocks of a page that are not furniture, in order; white space is one space, references are decoded."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
-    kind, parts, raw = OPEN, [], ""
+    kind, parts = OPEN, []
 
     def flush() -> None:
         if parts:
@@ -91,20 +92,20 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 out.append((kind, text))
             parts.clear()
 
-    for m in _TOKEN.finditer(page or ""):
+    page, at = page or "", 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         close, tag = m.group(1), m.group(2)
         if tag is None:
             token = m.group()
-            if not raw and kind != FURNITURE and (token[0] != "<" or token == "<"):
+            if kind != FURNITURE and (token[0] != "<" or token == "<"):
                 parts.append(token)
             continue
         tag = tag.lower()
-        if raw:
-            if close and tag == raw:
-                raw = ""
-            continue
         if tag in _RAW:
-            raw = "" if close or m.group(3).endswith("/") else tag
+            if not close and not m.group(3).endswith("/"):  # what is inside is no markup
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if tag in _VOID:
             if tag == "hr":
@@ -115,13 +116,13 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if tag in _BLOCK:
             flush()
         if close:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                if tag not in _BLOCK and any(t in _BLOCK for t, _ in stack[at + 1 :]):
+            level = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if level is not None:
+                if tag not in _BLOCK and any(t in _BLOCK for t, _ in stack[level + 1 :]):
                     continue  # an inline end tag does not close blocks
-                if kind != (stack[at - 1][1] if at else OPEN):
+                if kind != (stack[level - 1][1] if level else OPEN):
                     flush()
-                del stack[at:]
+                del stack[level:]
                 kind = stack[-1][1] if stack else OPEN
             continue
         ends = _CLOSES.get(tag)

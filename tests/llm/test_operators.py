@@ -250,6 +250,11 @@ def test_main_text(spark):
     assert got == {1: "A & B\none two\nthree four", 2: "my own words here", 3: "quite different things again", 4: "", 5: "", 6: "x\nall rights of this site are kept by us"}
 
 
+def test_text_after_a_script_stays():
+    for script in ("for(i=0;i<n;i++){f(i)}", "if(a<b||c<d)document.write('<p>x<b')", "x<!--y"):
+        assert pages.blocks(f"<p>one</p><script>{script}</script><p>two</p><SCRIPT src=a>{script}</Script ><p>three")[-2:] == [(pages.OPEN, "two"), (pages.OPEN, "three")]
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     v = [rng.standard_normal(8).astype(np.float32).tolist() for _ in range(150)] + [[1.0] * 8] * 40
