@@ -132,10 +132,11 @@ def hash_text(data: np.ndarray) -> tuple[int, int]:
 
 
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each bag as a set: a shingle of count c is the c elements (shingle, 0) to (shingle, c-1)."""
+    """Each bag as a set: a shingle of count c is the c elements (shingle, 0) to (shingle, c-1). Numbers beyond 16 bits are mixed in, so that none is used twice."""
     for b in pieces(batches, "text", 2 << 20):
         shingles, weights, offsets, _ = bags(b.column("text"))
-        elements = (np.repeat(shingles, weights) << U64(16)) + np.minimum(ragged(np.zeros(len(weights), np.int64), weights), 65535).astype(U64)
+        number = ragged(np.zeros(len(weights), np.int64), weights).astype(U64)
+        elements = ((np.repeat(shingles, weights) << U64(16)) + (number & U64(65535))) ^ mix(number >> U64(16))  # mix(0) is 0
         at = np.concatenate([[0], np.cumsum(weights)])[offsets]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(elements.astype(np.int64)))], ["doc_id", "bag"])
 

@@ -56,6 +56,12 @@ def test_near_duplicates_equal_brute_force(spark, near):
     assert got == {i: find(i) for i, _ in near}
 
 
+def test_bags_of_very_many_occurrences_are_linked(spark):
+    rows = [(1, "a " * 100_004), (2, "a " * 100_005), (3, "a " * 70_000)]
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(docs_of(spark, rows), "doc_id", "text").collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     s = np.arange(1, 201, dtype=np.uint64) * np.uint64(7919)
