@@ -2,66 +2,125 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.llm.common import checkpointed
 from lithos.llm.components import connected_components
 
-#: Members of a bucket up to which all its pairs (120 at most) are verified.
+#: Members of a bucket up to which those that its first one leaves apart meet at once (at most 105 pairs).
 SMALL = 16
 #: Members of a larger bucket that all others are compared with.
 LEADERS = 4
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame, float], DataFrame], may: str = "true", slack: float = 1.0) -> DataFrame:
-    """(a, b) of linked ids, enough to connect all ids that links inside buckets connect.
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (bucket, id), each once, without the buckets of one id. One pass: a row waits for the next at most."""
+    names = ["bucket", "id", "size"]
+    held, last = None, None  # a bucket's first row that waits for a second; the last row seen
+    for b in batches:
+        bucket, ident, size = (b.column(n).to_numpy() for n in names)
+        if held is not None:
+            bucket, ident, size = (np.concatenate([x, y]) for x, y in zip(held, (bucket, ident, size), strict=True))
+        if not len(bucket):
+            continue
+        fresh = np.ones(len(bucket), bool)
+        fresh[1:] = (bucket[1:] != bucket[:-1]) | (ident[1:] != ident[:-1])
+        if held is None and last is not None:
+            fresh[0] = (bucket[0], ident[0]) != last
+        known = last[0] if held is None and last is not None else None
+        last = bucket[-1], ident[-1]
+        bucket, ident, size = bucket[fresh], ident[fresh], size[fresh]
+        held = None
+        if not len(bucket):
+            continue
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        n = np.diff(edge)
+        good = np.repeat(n > 1, n)
+        if known is not None and bucket[0] == known:
+            good[: n[0]] = True
+            alone = len(n) > 1 and n[-1] == 1
+        else:
+            alone = n[-1] == 1
+        if alone:
+            held = bucket[-1:], ident[-1:], size[-1:]
+            good[-1] = False
+        if good.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (bucket, ident, size)], names)
+
+
+def bucket_members(entries: DataFrame) -> DataFrame:
+    """entries: (bucket, id, size) of type long, any number of times. Those of buckets with two ids or more, once each.
 
-    members: (bucket, id, ...), each id once in a bucket. `verify(pairs, reach)`
-    turns distinct (a, b) into (a, b, d, radius): d is a metric distance, exact
-    up to `reach` times the radius (null beyond), and the two are linked
-    if d <= radius. No pair of an id has a larger radius than `slack` times
-    that of its other pairs. `may`: a condition on the columns of x and y (two
-    members of a bucket) without which they can't be linked.
-
-    A bucket of SMALL members or fewer has all its pairs verified. In a larger
-    one all are compared with LEADERS of it, those that are in most large
-    buckets and so most central. That connects nearly all that is connected.
-    What it leaves is done exactly: two members that are not yet connected are
-    compared unless their distances to the leaders, by the triangle
-    inequality, rule a link out. Nothing is capped.
+    One shuffle and a sort that can spill; a bucket of any size is read as a stream.
     """
-    members = checkpointed(members)
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    small = members.join(size.where(f"n <= {SMALL}").select("bucket"), "bucket")
-    x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, F.expr(f"x.bucket = y.bucket and x.id < y.id and ({may})")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    big = checkpointed(members.join(size.where(f"n > {SMALL}").select("bucket"), "bucket").select("bucket", "id"))
-    if big.isEmpty():
-        return verify(pairs, 1.0).where("d <= radius").select("a", "b")
-
-    central = big.join(big.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id")
-    first = central.withColumn("j", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "id"))).where(F.col("j") <= LEADERS)
-    led = checkpointed(big.join(first.select("bucket", "j", F.col("id").alias("leader")), "bucket"))
-    ends = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
-    known = checkpointed(verify(led.where("id != leader").select(*ends).distinct(), 2.0))
-    links = checkpointed(known.where("d <= radius").select("a", "b").union(verify(pairs, 1.0).where("d <= radius").select("a", "b")))
+    return entries.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_several, "bucket long, id long, size long")
+
+
+def _ends(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     groups = connected_components(links, "a", "b")
-    far = led.select("bucket", "id", "j", "leader", *ends).join(known, ["a", "b"], "left")
-    far = far.withColumn("d", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.col("d").cast("double")))
-    columns = [F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for j in range(1, LEADERS + 1) for c in ("d", "radius")]
-    placed = far.groupBy("bucket", "id").agg(*columns).join(groups, F.col("id") == groups.node, "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
-    # buckets whose members are all connected are done
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    placed = checkpointed(placed.join(open_, "bucket"))
-    x, y = placed.alias("x"), placed.alias("y")
-    near = []
-    for j in range(1, LEADERS + 1):
-        reach = f"{slack} * greatest(coalesce(x.radius{j}, y.radius{j}), coalesce(y.radius{j}, x.radius{j}))"
-        one = "{0}.d{1} >= 2 * coalesce({2}.radius{1}, {0}.radius{1}) - " + reach
-        near.append(f"coalesce(abs(x.d{j} - y.d{j}) <= {reach}, {one.format('x', j, 'y')}, {one.format('y', j, 'x')}, true)")
-    rest = x.join(y, F.expr("x.bucket = y.bucket and x.id < y.id and x.root != y.root and " + " and ".join(near)))
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return links.union(verify(rest, 1.0).where("d <= radius").select("a", "b"))
+    return members.join(groups, members.id == groups.node, "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
+
+
+def _still_open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component, with the bucket's number of rows."""
+    open_ = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+    return rows.drop("n").join(open_, "bucket")
+
+
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str, most: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(a, b) of linked ids, enough to connect all ids that links inside buckets connect.
+
+    members: what `bucket_members` returns, written. `verify(pairs)` returns
+    those of the distinct (a, b) that are linked. `may`: a condition on the
+    sizes `p` and `q` of two ids without which they can't be linked; it holds
+    for buckets of every size.
+
+    First each bucket's members are compared with the one of them that is in
+    most buckets, and so most central; that connects nearly all that is
+    connected, with a pair for each member. Where a larger bucket stays open,
+    LEADERS - 1 further ones are compared with all. What is still not
+    connected is compared pair by pair. `most(ids)` may give (id, most), the
+    largest size of what an id can share with any other of them, by which
+    pairs are ruled out: two ids whose sizes and shared parts are too small.
+    Nothing is capped.
+    """
+    degree = members.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "id")
+    placed = members.join(degree, "id").withColumn("place", F.row_number().over(order) - 1)
+    placed = checkpointed(placed.withColumn("leader", F.first("id").over(order)).withColumn("leader_size", F.first("size").over(order)).drop("degree"))
+
+    def fits(p: str, q: str) -> str:
+        return "(" + may.replace("{p}", p).replace("{q}", q) + ")"
+
+    pairs = placed.where("id != leader and " + fits("size", "leader_size")).select(*_ends("id", "leader")).distinct()
+    links = checkpointed(verify(pairs))
+    rest = checkpointed(_still_open(_rooted(placed.where("place > 0").select("bucket", "id", "size", "place"), links)))
+    large = rest.where(f"n > {SMALL}")
+    if not large.isEmpty():
+        leaders = large.where(f"place < {LEADERS}").select("bucket", F.col("id").alias("leader"), F.col("size").alias("leader_size"), F.col("place").alias("at"), F.col("root").alias("leader_root"))
+        pairs = large.join(leaders, "bucket").where("place > at and root != leader_root and " + fits("size", "leader_size"))
+        more = checkpointed(verify(pairs.select(*_ends("id", "leader")).distinct()))
+        links = links.union(more)
+        rest = checkpointed(_still_open(_rooted(rest.select("bucket", "id", "size", "place", "n"), links)))
+        # the leaders of a large bucket have been compared with all of it
+        rest = rest.where(f"place >= {LEADERS} or n <= {SMALL}")
+    columns, shared = ["bucket", "id", "size", "root"], ""
+    if most is not None:
+        large = F.col("n") > SMALL
+        known = most(rest.where(large).select("id").distinct())  # of what two ids of a large bucket can share
+        rest = rest.join(known, "id", "left").withColumn("most", F.when(large, F.coalesce("most", "size")).otherwise(F.col("size")))
+        rest = checkpointed(rest.where(fits("size", "most")))
+        columns.append("most")
+        shared = " and " + fits("(x.size + y.size - least(x.most, y.most))", "least(x.most, y.most)")
+    x, y = (rest.select(*[F.col(c).alias(f"{c}") for c in columns]).alias(s) for s in "xy")
+    far = x.join(y, F.expr("x.bucket = y.bucket and x.id < y.id and x.root != y.root and " + fits("x.size", "y.size") + shared))
+    return links.union(verify(far.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))

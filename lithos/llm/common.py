@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,24 +22,48 @@ _INV = pow(_BASE, -1, 1 << 64)
 PIECE_BYTES = 4 << 20
 
 
+#: Tables of this session in the shared folder, oldest first; `forget` deletes them.
+_WRITTEN: list[str] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, with its lineage cut.
+    """`df` written as a table in the shared folder and read again: computed once, its lineage cut, safe from lost executors.
 
-    The folder is the session's (`spark.checkpoint.dir`); only where none is
-    set, as in tests, a temporary one is used.
+    What the steps before have shuffled is then released, so the disk in use
+    is that of the largest step and not of all of them.
     """
-    shared_folder(df.sparkSession)
-    done = df.checkpoint()
-    # a checkpoint carries on its plan's constraints, which multiply over rounds of joins; its rows alone do not
-    inner = df.sparkSession._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
-    return DataFrame(inner, df.sparkSession)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
+    gc.collect()
+    spark._jvm.System.gc()  # the context's cleaner drops the shuffle files of plans that nobody holds
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables written since there were `since` of them; nothing that still reads them may be used afterwards."""
+    while len(_WRITTEN) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written() -> int:
+    return len(_WRITTEN)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which the driver and all executors share."""
+    """The folder that the driver and all executors share: `spark.checkpoint.dir` of the session.
+
+    Where none is set, a local master gets a folder of its own; on a cluster
+    that would lose data, so there it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -106,15 +133,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows, in slices whose `column` has about `limit` bytes or that have one row."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The same rows, in slices of at most `rows` rows whose `column` has about `limit` bytes or that have one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < len(sizes):
             base = ends[at] - sizes[at]
-            stop = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + limit, "right"))))
             yield batch.slice(at, stop - at)
             at = stop
 

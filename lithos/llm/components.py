@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014)
     until the edges stay as they are: a logarithmic number of rounds of
-    joins and map-side combined minima. Nothing but a count and a checksum
+    joins and map-side combined minima, each written once. Nothing but a count and a checksum
     comes to the driver. Loops, repeated edges and either direction are fine;
     an edge with a null end is no edge. No edges give no rows.
     """
@@ -31,7 +31,6 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         edges = both.join(least, both.a == least.n).where("b > n and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        edges = checkpointed(edges)
         least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         star = edges.join(least, edges.a == least.n)
         edges = star.select("b", "m").where("b > m").union(star.select("n", "m")).toDF("a", "b").distinct()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.buckets import bucket_links
+from lithos.llm.buckets import bucket_links, bucket_members
 from lithos.llm.common import U64, checkpointed, flat, mix, owners, pieces, ragged, seeded, shingle_hashes, word_hashes
 from lithos.llm.components import connected_components
 
@@ -155,21 +155,24 @@ def near_duplicates(docs: DataFrame, key: str, text: str, similarity: float = SI
     sketch = checkpointed(rows.mapInArrow(_sketches, "doc_id long, c1 long, c2 long, size long, bands array<long>"))
     classes = sketch.where("c1 is not null and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = checkpointed(classes)
-    banded = classes.where("size > 0").select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "size").dropDuplicates(["bucket", "id"])
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = checkpointed(banded.join(shared, "bucket"))
+    members = checkpointed(bucket_members(classes.where("size > 0").select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "size")))
     wanted = members.select("id").distinct()
     bag = rows.join(wanted, rows.doc_id == wanted.id, "left_semi").mapInArrow(_bag_rows, "doc_id long, bag array<long>").dropDuplicates(["doc_id"])
     bag = checkpointed(bag)
-    far = 1.0 - similarity + 1e-9
 
-    def verify(pairs: DataFrame, reach: float) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         x, y = bag.toDF("a", "bag_a"), bag.toDF("b", "bag_b")
-        both = F.size(F.array_intersect("bag_a", "bag_b"))
-        shared = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("n"), (F.size("bag_a") + F.size("bag_b")).alias("sum"))
-        return shared.select("a", "b", (1.0 - F.col("n") / (F.col("sum") - F.col("n"))).alias("d"), F.lit(far).alias("radius"))
+        n, total = F.size(F.array_intersect("bag_a", "bag_b")), F.size("bag_a") + F.size("bag_b")
+        return pairs.join(x, "a").join(y, "b").where(n >= (similarity - 1e-9) * (total - n)).select("a", "b")
 
-    links = bucket_links(members, verify, f"least(x.size, y.size) >= {similarity - 1e-9} * greatest(x.size, y.size)")
+    def most(ids: DataFrame) -> DataFrame:
+        """What is left of a bag without the elements that none of the others has."""
+        own = bag.join(ids, bag.doc_id == ids.id).select("id", F.explode("bag").alias("element"))
+        private = own.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("private"))
+        sizes = bag.join(ids, bag.doc_id == ids.id).select("id", F.size("bag").alias("size"))
+        return sizes.join(private, "id", "left").select("id", (F.col("size") - F.coalesce("private", F.lit(0))).alias("most"))
+
+    links = bucket_links(members, verify, f"least({{p}}, {{q}}) >= {similarity - 1e-9} * greatest({{p}}, {{q}})", most)
     groups = connected_components(links, "a", "b")
     reps = classes.select("c1", "c2", "rep")
     out = sketch.select("doc_id", "c1", "c2").join(reps, ["c1", "c2"], "left")
