@@ -16,6 +16,8 @@ from lithos.llm.components import connected_components
 SMALL = 16
 #: Members of a larger bucket that all others are compared with.
 LEADERS = 4
+#: Longs of a bitmap of classes.
+MARK_WORDS = 8
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +78,12 @@ def _still_open(rows: DataFrame) -> DataFrame:
     return rows.drop("n").join(open_, "bucket")
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str, most: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def lacking(x: str, y: str) -> str:
+    """SQL: classes that x has and y lacks, by their bitmaps `marks` (arrays of MARK_WORDS longs)."""
+    return "(" + " + ".join(f"bit_count({x}.marks[{j}] & ~{y}.marks[{j}])" for j in range(MARK_WORDS)) + ")"
+
+
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str, known: Callable[[DataFrame], DataFrame] | None = None, rule: str = "true") -> DataFrame:
     """(a, b) of linked ids, enough to connect all ids that links inside buckets connect.
 
     members: what `bucket_members` returns, written. `verify(pairs)` returns
@@ -88,10 +95,9 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     most buckets, and so most central; that connects nearly all that is
     connected, with a pair for each member. Where a larger bucket stays open,
     LEADERS - 1 further ones are compared with all. What is still not
-    connected is compared pair by pair. `most(ids)` may give (id, most), the
-    largest size of what an id can share with any other of them, by which
-    pairs are ruled out: two ids whose sizes and shared parts are too small.
-    Nothing is capped.
+    connected is compared pair by pair. `known(ids)` may give (id, ...), and
+    `rule` a condition on such columns of x and y that any two of these ids
+    that are linked fulfil: what it rules out is ruled out without loss. Nothing is capped.
     """
     degree = members.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "id")
@@ -114,13 +120,12 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
         # the leaders of a large bucket have been compared with all of it
         rest = rest.where(f"place >= {LEADERS} or n <= {SMALL}")
     columns, shared = ["bucket", "id", "size", "root"], ""
-    if most is not None:
-        large = F.col("n") > SMALL
-        known = most(rest.where(large).select("id").distinct())  # of what two ids of a large bucket can share
-        rest = rest.join(known, "id", "left").withColumn("most", F.when(large, F.coalesce("most", "size")).otherwise(F.col("size")))
-        rest = checkpointed(rest.where(fits("size", "most")))
-        columns.append("most")
-        shared = " and " + fits("(x.size + y.size - least(x.most, y.most))", "least(x.most, y.most)")
-    x, y = (rest.select(*[F.col(c).alias(f"{c}") for c in columns]).alias(s) for s in "xy")
+    if known is not None:
+        rest = checkpointed(rest.join(known(rest.select("id").distinct()), "id", "left"))
+        columns += [c for c in rest.columns if c not in (*columns, "place", "n")]
+        shared = f" and coalesce({rule}, true)"
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    rest = rest.select(*columns).repartition(tasks, "bucket")
+    x, y = rest.alias("x"), rest.alias("y")
     far = x.join(y, F.expr("x.bucket = y.bucket and x.id < y.id and x.root != y.root and " + fits("x.size", "y.size") + shared))
     return links.union(verify(far.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))

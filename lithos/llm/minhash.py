@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.buckets import bucket_links, bucket_members
+from lithos.llm.buckets import MARK_WORDS, bucket_links, bucket_members, lacking
 from lithos.llm.common import U64, checkpointed, flat, mix, owners, pieces, ragged, seeded, shingle_hashes, word_hashes
 from lithos.llm.components import connected_components
 
@@ -32,6 +32,8 @@ SIMILARITY = 0.8
 #: A pair at 0.8 shares no band with probability (1 - 0.8**4)**25 = 2e-6.
 BANDS, ROWS = 25, 4
 SLOTS = BANDS * ROWS
+#: Classes of shingles by which two bags' overlap is bounded.
+MARKS = 64 * MARK_WORDS
 
 _NONE = np.inf
 
@@ -166,13 +168,18 @@ def near_duplicates(docs: DataFrame, key: str, text: str, similarity: float = SI
         return pairs.join(x, "a").join(y, "b").where(n >= (similarity - 1e-9) * (total - n)).select("a", "b")
 
     def most(ids: DataFrame) -> DataFrame:
-        """What is left of a bag without the elements that none of the others has."""
+        """What is left of a bag without the elements that none of the others has, and which of MARKS classes these elements are in."""
         own = bag.join(ids, bag.doc_id == ids.id).select("id", F.explode("bag").alias("element"))
-        private = own.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("private"))
-        sizes = bag.join(ids, bag.doc_id == ids.id).select("id", F.size("bag").alias("size"))
-        return sizes.join(private, "id", "left").select("id", (F.col("size") - F.coalesce("private", F.lit(0))).alias("most"))
-
-    links = bucket_links(members, verify, f"least({{p}}, {{q}}) >= {similarity - 1e-9} * greatest({{p}}, {{q}})", most)
+        common = own.join(own.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("element"), "element")
+        cell = F.pmod(F.xxhash64("element"), F.lit(MARKS))
+        marks = [F.bit_or(F.when(F.floor(cell / 64) == j, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(element), {MARKS}) % 64 as int))")).otherwise(F.lit(0).cast("long"))) for j in range(MARKS // 64)]
+        counted = common.groupBy("id").agg(F.count(F.lit(1)).alias("most"), F.array(*marks).alias("marks"))
+        return ids.join(counted, "id", "left").select("id", F.coalesce("most", F.lit(0)).alias("most"), "marks")
+
+    # a class that one bag has and the other lacks is an element at least that they don't share
+    both = f"least(x.most - {lacking('x', 'y')}, y.most - {lacking('y', 'x')})"
+    least = f"{(similarity - 1e-9) / (1 + similarity)}D * (x.size + y.size)"
+    links = bucket_links(members, verify, f"least({{p}}, {{q}}) >= {similarity - 1e-9}D * greatest({{p}}, {{q}})", most, f"least(x.most, y.most) >= {least} and coalesce({both}, 0) >= {least}")
     groups = connected_components(links, "a", "b")
     reps = classes.select("c1", "c2", "rep")
     out = sketch.select("doc_id", "c1", "c2").join(reps, ["c1", "c2"], "left")
