@@ -28,8 +28,6 @@ SAMPLE_ROWS = 6_000
 MAX_LANGUAGES = 256
 #: Steps of expectation-maximisation over all languages, and over each smaller set.
 STEPS, SET_STEPS = 8, 3
-#: Largest set of languages that one document may have.
-MAX_SET = 3
 #: Nats charged for each further language, times log(1 + words).
 PENALTY = 3.0
 
@@ -132,7 +130,7 @@ def infer(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarra
     best[np.arange(len(full)), alone.argmax(1)] = 1.0
     value = alone.max(1)
     charge = PENALTY * np.log1p(n)
-    for size in range(2, min(MAX_SET, k) + 1):
+    for size in range(2, k + 1):  # until no document has a share left for another language
         may = np.flatnonzero(pi[np.arange(len(full)), order[:, size - 1]] > 0.02)
         if not len(may):
             break
@@ -160,16 +158,24 @@ def identify(docs: DataFrame, text: str, model: LanguageModel, keep: list[str])
 
     The prediction reads nothing but the whole text. `und` with score 0: the
     text is null or empty, has no letter, or the model has no language. Equal
-    proportions go to the first language in alphabetical order.
+    proportions go to the first language in alphabetical order. Columns of
+    these three names in `keep` raise ValueError, others may have any name;
+    repeated rows are predicted again; no rows give no rows. Texts are read
+    whole, in pieces of some megabytes or one text.
     """
+    if clash := {"lang_pred", "score", "lang_mix"} & set(keep):
+        raise ValueError(f"columns to keep have the names of results: {sorted(clash)}")
+    own = "_text"
+    while own in keep:
+        own = "_" + own
     names = np.array(model.languages, object)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x MAX_LANGUAGES floats at most
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "_text"):
-            column = b.column("_text")
+        for b in pieces(batches, own):
+            column = b.column(own)
             mixes, score = infer(shared.value, column)
             lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             good = lettered & (mixes.sum(1) > 0 if mixes.shape[1] else False)
@@ -182,7 +188,7 @@ def identify(docs: DataFrame, text: str, model: LanguageModel, keep: list[str])
                 [*keep, "lang_pred", "score", "lang_mix"],
             )
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(predict, f"{schema + ', ' if schema else ''}lang_pred string, score double, lang_mix array<struct<lang:string,share:double>>")
+    return docs.select(*keep, F.col(text).alias(own)).mapInArrow(predict, f"{schema + ', ' if schema else ''}lang_pred string, score double, lang_mix array<struct<lang:string,share:double>>")
 
 
 def held_out(key: str) -> Column:

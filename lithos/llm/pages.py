@@ -31,7 +31,9 @@ from lithos.llm.urls import host_of
 #: Tokens of a long substring, and the share of a block's tokens that must be covered for it to go.
 RUN, COVERED = 4, 0.8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[/a-zA-Z!?][^>]*\Z|[^<]+|<", re.S)
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[/a-zA-Z!?][^>]*\Z|[^<]+|<""", re.S
+)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW = frozenset("script style noscript template iframe object svg textarea title".split())
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in _RAW}
@@ -42,14 +44,15 @@ _BLOCK = frozenset(
 _FURNITURE = frozenset("head nav header footer aside form menu dialog button select fieldset label".split())
 _CONTENT = frozenset("article main".split())
 _ROLE_FURNITURE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-#: Words of class and id attributes.
+#: Whole names of class or id by which sites mark such containers; a name that merely holds one of these words says nothing.
 _NAME_FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments disqus replies reply respond discussion form search pagination pager toolbar".split()
+    "ad ads advert advertisement sponsored banner nav navbar menu breadcrumb breadcrumbs header footer sidebar widget cookie-banner cookie-notice cookies consent notice newsletter subscribe comment comments comment-list disqus respond replies popup modal".split()
 )
-_NAME_CONTENT = frozenset("article content post entry story main body text articlebody".split())
+_NAME_CONTENT = frozenset("article content post entry story main articlebody".split())
+#: Elements whose names count.
+_CONTAINERS = frozenset("div section ul ol dl table figure details".split())
 #: Paragraphs end where another one begins, list items likewise.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-_WORDS = re.compile(r"[a-z]+")
 
 FURNITURE, OPEN, CONTENT = 0, 1, 2
 
@@ -69,10 +72,10 @@ def _kind(tag: str, attributes: str, above: int) -> int:
                     return FURNITURE
                 named_content |= value in ("main", "article")
             else:
-                words = set(_WORDS.findall(value))
-                if words & _NAME_FURNITURE:
+                names = set(value.split()) if tag in _CONTAINERS else set()
+                if names & _NAME_FURNITURE:
                     return FURNITURE
-                named_content |= bool(words & _NAME_CONTENT)
+                named_content |= bool(names & _NAME_CONTENT)
     return CONTENT if above == CONTENT or tag in _CONTENT or named_content else OPEN
 
 
@@ -95,7 +98,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     page, at = page or "", 0
     while m := _TOKEN.match(page, at):
         at = m.end()
-        close, tag = m.group(1), m.group(2)
+        close, tag, attributes = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)  # the second: a quote that is never closed
         if tag is None:
             token = m.group()
             if kind != FURNITURE and (token[0] != "<" or token == "<"):
@@ -103,7 +106,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             continue
         tag = tag.lower()
         if tag in _RAW:
-            if not close and not m.group(3).endswith("/"):  # what is inside is no markup
+            if not close and not attributes.endswith("/"):  # what is inside is no markup
                 end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -134,8 +137,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                     break
                 if stack[i][0] in _BLOCK and stack[i][0] not in ("tbody", "thead", "tfoot"):
                     break
-        new = _kind(tag, m.group(3), kind)
-        if m.group(3).endswith("/") and tag not in _BLOCK:
+        new = _kind(tag, attributes, kind)
+        if attributes.endswith("/") and tag not in _BLOCK:
             continue
         if new != kind:
             flush()

@@ -248,6 +248,29 @@ def test_bad_hosts_are_blocked(spark):
     assert got["bad.com"] and not got["good.com"] and len(got) == 4
 
 
+def test_posterior_tails_equal_counted_ones():
+    rng = np.random.default_rng(3)
+    for a, b, x in ((2, 8, 0.3), (0.3, 0.9, 0.22), (300, 900, 0.26), (1, 1, 0.25), (0.5, 200, 0.001)):
+        want = (rng.beta(a, b, 400_000) > x).mean()
+        assert abs(urls.beta_above(np.array([float(a)]), np.array([float(b)]), np.array([x]))[0] - want) < 0.004
+
+
+def test_quoted_attributes_and_names_that_hold_a_word():
+    page = "<article><p title='a > b'>ok</p><p class='share-price'>Share prices rose.</p><div class='related-work'>more</div><div class='comments'>no</div><p>it's <b title=\"x>y\">bold</b></p></article><div class='ad'>x</div>"
+    assert [t for _, t in pages.blocks(page)] == ["ok", "Share prices rose.", "more", "it's bold"]
+
+
+def test_a_document_may_have_many_languages():
+    alphabet = ["abcd", "efgh", "ijkl", "mnop", "qrst"]
+    rng, cells = random.Random(5), np.full((language.CELLS, 5), 1e-3)
+    text = [" ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(300)) for a in alphabet]
+    for j, t in enumerate(text):
+        np.add.at(cells[:, j], language._trigrams(pa.array([t]))[0], 1)
+    model = language.LanguageModel(tuple("abcde"), np.log(cells / cells.sum(0)).astype(np.float32))
+    mix, _ = language.infer(model, pa.array([" ".join(text[:4]), text[4]]))
+    assert (mix[0] > 0.15).sum() == 4 and mix[1].argmax() == 4 and mix[1].max() > 0.99
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title></head><body><header>Site</header><nav><a>x</a></nav><article><h1>A &amp; B</h1><p>one<br>two<p>three <b>four</b></article><aside>side</aside><div class='comments'>c</div><footer>f</footer>"
     foot = "<div>all rights of this site are kept by us</div>"
