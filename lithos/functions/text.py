@@ -41,7 +41,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def distinct_terms(terms: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(terms, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(terms, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def truncate_text(text: Column, limit: int) -> Column:
@@ -50,11 +50,12 @@ def truncate_text(text: Column, limit: int) -> Column:
 
 
 def strip_markers(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\[(?:CHAIN_LEN=\d+|E\d+)\]", ""))
+    """Without the marks of the evidence renderer: [CHAIN_LEN=...], [CAUSAL_ORDER=...], [EVIDENCE_TYPES=...] and [E1], each with the space after it."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\[(?:(?:CHAIN_LEN|CAUSAL_ORDER|EVIDENCE_TYPES)=[^\]]+|E\d+)\]\s*", ""), r"(?U)\A\s+|\s+\z", "")
 
 
 def sentences(text: Column, ends: str = r"[\n\r。！？；]+") -> Column:
-    return F.filter(F.transform(F.split(text, ends), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ends), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def hits(text: Column, terms: list[str]) -> Column:

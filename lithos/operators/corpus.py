@@ -18,9 +18,10 @@ def merge_segments(turns: DataFrame, story: str, place: str, speaker: str, text:
 def pack_chunks(lengths: Column, max_chars: int = 420, overlap: int = 1) -> Column:
     """Greedy packing of segment lengths, as the chunks' (first, last) segments.
 
-    A chunk is closed when the next segment and a separator would not fit; the
-    next one starts with its last `overlap` segments, whose separators don't
-    count. A segment is never split, so a chunk can exceed max_chars.
+    Every segment takes its length and a separator. A chunk is closed when the
+    next one's would not fit; the next chunk starts with its last `overlap`
+    segments, whose separators don't count. A segment is never split, so a
+    chunk can exceed max_chars.
     """
     empty = F.array().cast("array<struct<first:int,last:int>>")
     start = F.struct(empty.alias("done"), F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("size"))
@@ -34,7 +35,7 @@ def pack_chunks(lengths: Column, max_chars: int = 420, overlap: int = 1) -> Colu
             F.when(full, F.concat(s.done, F.array(last))).otherwise(s.done).alias("done"),
             F.when(full, carry).otherwise(s["first"]).cast("int").alias("first"),
             (s.n + 1).cast("int").alias("n"),
-            (F.when(full, kept + length).otherwise(s["size"] + length + F.when(s.n > s["first"], 1).otherwise(0))).cast("int").alias("size"),
+            (F.when(full, kept).otherwise(s["size"]) + length + 1).cast("int").alias("size"),
         )
 
     def finish(s: Column) -> Column:

@@ -185,8 +185,8 @@ def segment_merge(spark, d):
 
 @query("""WITH RECURSIVE seg AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, CAST(length(text) AS BIGINT) AS len FROM conversations),
 w(conv_id, n, size, first, closed_first, closed_last) AS (
-SELECT conv_id, n, len, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) FROM seg WHERE n = 0
-UNION ALL SELECT s.conv_id, s.n, CASE WHEN w.size + s.len + 1 > 420 THEN p.len + s.len ELSE w.size + s.len + 1 END,
+SELECT conv_id, n, len + 1, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) FROM seg WHERE n = 0
+UNION ALL SELECT s.conv_id, s.n, CASE WHEN w.size + s.len + 1 > 420 THEN p.len + s.len + 1 ELSE w.size + s.len + 1 END,
 CASE WHEN w.size + s.len + 1 > 420 THEN w.n ELSE w.first END, CASE WHEN w.size + s.len + 1 > 420 THEN w.first ELSE -1 END, CASE WHEN w.size + s.len + 1 > 420 THEN w.n ELSE -1 END
 FROM w JOIN seg s ON s.conv_id = w.conv_id AND s.n = w.n + 1 JOIN seg p ON p.conv_id = w.conv_id AND p.n = w.n)
 SELECT conv_id, closed_first AS first, closed_last AS last FROM w WHERE closed_first >= 0
@@ -258,15 +258,20 @@ def graph_direct(spark, d):
 
 
 def hop_sql(h: int) -> str:
+    new = "" if h == 1 else "WHERE target NOT IN (SELECT entity FROM asked) "
     return f"""g{h} AS (SELECT doc_id, sum(mass * least(weight, 4) / (place + 1)) AS c FROM posting JOIN m{h} USING (entity) GROUP BY doc_id),
-o{h} AS (SELECT target, sum(c / n / k) AS mass FROM g{h} JOIN ofdoc USING (doc_id) WHERE target NOT IN (SELECT entity FROM asked) GROUP BY target),
+o{h} AS (SELECT target, sum(c / n / k) AS mass FROM g{h} JOIN ofdoc USING (doc_id) {new}GROUP BY target),
 m{h + 1} AS (SELECT target AS entity, mass FROM o{h} WHERE mass >= 1e-4 ORDER BY round(mass, 9) DESC, target LIMIT 256)"""
 
 
-@query(f"""WITH {EDGES}, {ASKED}, posting AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY doc_id) - 1 AS place FROM edges QUALIFY place < 128),
+def graph_sql() -> str:
+    return f"""WITH {EDGES}, {ASKED}, posting AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY doc_id) - 1 AS place FROM edges QUALIFY place < 128),
 od AS (SELECT doc_id, entity AS target, row_number() OVER (PARTITION BY doc_id ORDER BY first, entity) AS k FROM edges QUALIFY k <= 16), ofdoc AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM od),
-m1 AS (SELECT entity, 1.0::DOUBLE AS mass FROM asked), {hop_sql(1)}, {hop_sql(2)}, {hop_sql(3)}
-SELECT doc_id, round(sum(s), 6) AS score FROM (SELECT doc_id, c * 0.35::DOUBLE AS s FROM g1 UNION ALL SELECT doc_id, c * 0.1225::DOUBLE FROM g2 UNION ALL SELECT doc_id, c * 0.042875::DOUBLE FROM g3) GROUP BY doc_id""")
+m1 AS (SELECT entity, 1.0::DOUBLE AS mass FROM asked), {hop_sql(1)}, {hop_sql(2)}, {hop_sql(3)},
+walk AS (SELECT doc_id, c * 0.35::DOUBLE AS s FROM g1 UNION ALL SELECT doc_id, c * 0.1225::DOUBLE FROM g2 UNION ALL SELECT doc_id, c * 0.042875::DOUBLE FROM g3)"""
+
+
+@query(f"{graph_sql()} SELECT doc_id, round(sum(s), 6) AS score FROM walk GROUP BY doc_id")
 def graph_ppr(spark, d):
     return graph.propagate(_edges(spark, d), _asked(spark)).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -316,7 +321,7 @@ def link_pairs(spark, d):
     return a.join(b, F.expr("a.conv_id = b.conv_id and a.turn < b.turn")).select("a.conv_id", F.col("a.turn").alias("turn_a"), F.col("b.turn").alias("turn_b"), F.round(link, 6).alias("link"))
 
 
-BRIDGES, ASKED, MOTIVES, OUTCOMES, TARGETS, COMMITS = ["license", "work", "law", "limitations", "permissions"], ["licensed", "thing"], ["because", "for"], ["result", "may"], ["except", "you"], ["compliance", "agree"]
+BRIDGES, ASKED_WORDS, MOTIVES, OUTCOMES, TARGETS, COMMITS = ["license", "work", "law", "limitations", "permissions"], ["licensed", "thing"], ["because", "for"], ["result", "may"], ["except", "you"], ["compliance", "agree"]
 
 
 def _has(words: list[str]) -> str:
@@ -332,7 +337,7 @@ LINK = """round(least(1e0, CASE WHEN x.story <> '' AND x.story = y.story THEN 45
 + least(3, len(list_intersect(x.b, y.b))) * 8e-2), 6)"""
 CANDIDATES = f"""{bm25_sql()}, c1 AS (SELECT t.doc_id AS id, t.score AS base, coalesce(lang, '') AS activity, coalesce(source, '') AS story, concat('s', t.doc_id % 3) AS stage, t.doc_id // 50 AS sort, t.doc_id % 5 AS stage_no, contains(text, 'Licensed') AS background, text, lower(text) AS low FROM top t JOIN documents USING (doc_id) WHERE rank < 40),
 c2 AS (SELECT *, {_some(QUERY_TEXT.split())} AS q, {_some(BRIDGES)} AS b, {_has(COMMITS)} AS commits FROM c1),
-c AS (SELECT *, list_filter([CASE WHEN {_has(ASKED)} OR len(q) >= 3 THEN 'action' END, CASE WHEN len(b) >= 2 THEN 'context' END, CASE WHEN {_has(MOTIVES)} AND len(q) + len(b) > 0 THEN 'motive' END, CASE WHEN {_has(OUTCOMES)} AND len(q) + len(b) > 0 THEN 'outcome' END, CASE WHEN {_has(TARGETS)} AND len(b) > 0 THEN 'target' END], lambda r: r IS NOT NULL) AS r FROM c2),
+c AS (SELECT *, list_filter([CASE WHEN {_has(ASKED_WORDS)} OR len(q) >= 3 THEN 'action' END, CASE WHEN len(b) >= 2 THEN 'context' END, CASE WHEN {_has(MOTIVES)} AND len(q) + len(b) > 0 THEN 'motive' END, CASE WHEN {_has(OUTCOMES)} AND len(q) + len(b) > 0 THEN 'outcome' END, CASE WHEN {_has(TARGETS)} AND len(b) > 0 THEN 'target' END], lambda r: r IS NOT NULL) AS r FROM c2),
 l AS (SELECT x.id AS a, y.id AS b, {LINK} AS link FROM c x JOIN c y ON x.id <> y.id)"""
 STRICT = f"""{CANDIDATES}, seeds AS (SELECT id FROM c WHERE len(r) > 0 OR len(q) >= 2 OR len(b) >= 2 ORDER BY base DESC, id LIMIT 24),
 p AS (SELECT s.id AS seed, c.*, coalesce(l.link, 1e0) AS link FROM seeds s JOIN c ON true LEFT JOIN l ON l.a = s.id AND l.b = c.id WHERE c.id = s.id OR l.link >= 4e-1),
@@ -344,7 +349,7 @@ strict AS (SELECT seed, n, r, round(35e-2 * ac::INT + 3e-1 * oc::INT + 25e-2 * m
 BONUS = f"""{STRICT}, best AS (SELECT *, row_number() OVER (ORDER BY score DESC, seed) AS k FROM strict QUALIFY k <= 3),
 bonus AS (SELECT m.id, round(max(least(best.score, 125e-2) * pow(85e-2, k - 1) + 8e-2 * len(m.r) + 12e-2 * list_contains(m.r, 'action')::INT + 11e-2 * list_contains(m.r, 'outcome')::INT + 1e-1 * list_contains(m.r, 'motive')::INT), 6) AS bonus
 FROM best JOIN m USING (seed) WHERE list_has_any(m.r, ['target', 'outcome']) OR (list_contains(m.r, 'action') AND len(list_filter(m.q, lambda t: length(t) >= 4)) > 0) OR (list_contains(m.r, 'motive') AND len(m.b) >= 2 AND m.commits) GROUP BY m.id),
-f AS (SELECT c.id, base, coalesce(bonus, 0e0) AS bonus, background, len(list_filter(q, lambda t: length(t) >= 5)) > 0 AS exact, {_has(ASKED)} AS acts FROM c LEFT JOIN bonus USING (id)),
+f AS (SELECT c.id, base, coalesce(bonus, 0e0) AS bonus, background, len(list_filter(q, lambda t: length(t) >= 5)) > 0 AS exact, {_has(ASKED_WORDS)} AS acts FROM c LEFT JOIN bonus USING (id)),
 focus AS (SELECT *, CASE WHEN exact THEN 105e-2 ELSE 0e0 END + CASE WHEN exact AND acts THEN 35e-2 ELSE 0e0 END + CASE WHEN bonus > 0 THEN 0e0 ELSE CASE WHEN acts AND NOT exact THEN -22e-2 ELSE 0e0 END + CASE WHEN exact THEN 0e0 ELSE -45e-2 END + CASE WHEN acts THEN 0e0 ELSE -2e-1 END END + CASE WHEN background THEN -11e-1 ELSE 8e-1 END AS focus FROM f)"""
 
 
@@ -352,7 +357,7 @@ def _candidates(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text", "lang", "source")
     c = _bm25(spark, d, 40).select(F.col("query_id").alias("query"), "doc_id", "score").join(docs, "doc_id").withColumn("low", F.lower("text"))
     c = c.withColumn("q_terms", chains.present(F.col("low"), QUERY_TEXT.split())).withColumn("b_terms", chains.present(F.col("low"), BRIDGES))
-    c = c.withColumn("roles", chains.evidence_roles(F.col("low"), F.col("q_terms"), F.col("b_terms"), ASKED, MOTIVES, OUTCOMES, TARGETS))
+    c = c.withColumn("roles", chains.evidence_roles(F.col("low"), F.col("q_terms"), F.col("b_terms"), ASKED_WORDS, MOTIVES, OUTCOMES, TARGETS))
     return c.select(
         "query", F.col("doc_id").alias("id"), F.col("score").alias("base"), "roles", "q_terms", "b_terms", F.col("b_terms").alias("chain_terms"), F.coalesce("source", F.lit("")).alias("story"), F.coalesce("lang", F.lit("")).alias("activity"),
         F.concat(F.lit("s"), F.col("doc_id") % 3).alias("stage"), F.floor(F.col("doc_id") / 50).alias("sort"), (F.col("doc_id") % 5).alias("stage_no"), F.col("text").contains("Licensed").alias("background"), (X.hits(F.col("low"), COMMITS) > 0).alias("commits"), "low",
@@ -381,7 +386,7 @@ def _focused(spark, d):
     c = c.join(bonus, ["query", "id"], "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
     kind = F.when(F.col("background"), "background").otherwise("story")
     asked = [t for t in QUERY_TEXT.split() if len(t) >= 5]
-    return c.withColumn("focus", chains.causal_focus(F.col("low"), F.col("bonus"), asked, ASKED) + chains.source_focus(kind, False, True, False))
+    return c.withColumn("focus", chains.causal_focus(F.col("low"), F.col("bonus"), asked, ASKED_WORDS) + chains.source_focus(kind, False, True, False))
 
 
 @query(f"WITH {BONUS} SELECT id AS doc_id, bonus, round(focus, 6) AS focus FROM focus")
@@ -392,8 +397,7 @@ def focus_adjust(spark, d):
 @query(f"WITH {BONUS} SELECT id AS doc_id, round(base + bonus + focus, 6) AS score, row_number() OVER (ORDER BY round(base + bonus + focus, 6) DESC, id) - 1 AS rank FROM focus QUALIFY rank < 20")
 def chain_rerank(spark, d):
     scored = _focused(spark, d).select("query", F.col("id").alias("doc_id"), F.round(F.col("base") + F.col("bonus") + F.col("focus"), 6).alias("score"))
-    place = (F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")) - 1).cast("long")
-    return scored.withColumn("rank", place).where("rank < 20").select("doc_id", "score", "rank")
+    return retrieval.ranked(scored, [F.desc("score"), F.asc("doc_id")], ["query"], 20).select("doc_id", F.col("score"), F.col("rank").cast("long").alias("rank"))
 
 
 DEFINERS = ["Licensed", "means", "under"]
@@ -431,11 +435,15 @@ def jaccard_pairs(spark, d):
     return a.join(b, F.expr("a.rank < b.rank")).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), F.round(X.jaccard(F.col("a.t"), F.col("b.t")), 6).alias("similarity"))
 
 
-@query(f"""WITH RECURSIVE x AS (SELECT doc_id, {SIM} AS t, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents QUALIFY n <= 40),
+def near_sql() -> str:
+    return f"""WITH RECURSIVE x AS (SELECT doc_id, {SIM} AS t, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents QUALIFY n <= 40),
 p AS (SELECT a.n AS na, b.n AS nb FROM x a JOIN x b ON a.n < b.n WHERE len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.82),
 near AS (SELECT x.n, x.doc_id, coalesce(list(p.na) FILTER (p.na IS NOT NULL), []) AS before FROM x LEFT JOIN p ON p.nb = x.n GROUP BY x.n, x.doc_id),
-k(n, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT near.n, CASE WHEN list_has_any(k.kept, near.before) THEN k.kept ELSE list_append(k.kept, near.n) END FROM k JOIN near ON near.n = k.n + 1)
-SELECT doc_id FROM near WHERE list_contains((SELECT kept FROM k ORDER BY n DESC LIMIT 1), n)""")
+k(n, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT near.n, CASE WHEN list_has_any(k.kept, near.before) THEN k.kept ELSE list_append(k.kept, near.n) END FROM k JOIN near ON near.n = k.n + 1),
+kept_docs AS (SELECT doc_id, n FROM near WHERE list_contains((SELECT kept FROM k ORDER BY n DESC LIMIT 1), n))"""
+
+
+@query(f"{near_sql()} SELECT doc_id FROM kept_docs")
 def near_dup(spark, d):
     top = _list(spark, d, "n_chars", 40).select("doc_id", "rank").join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
     items = top.agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_id").alias("id"), X.similarity_tokens(F.col("text")).alias("tokens")))).alias("x"))  # top-k rows
@@ -476,9 +484,9 @@ def pyramid_order(spark, d):
     return top.select("source", "doc_id", (F.row_number().over(Window.partitionBy("source").orderBy(evidence.pyramid(F.col("rank")))) - 1).alias("position"))
 
 
-@query("""WITH q AS (SELECT item_id, regexp_replace(substr(text, 1, 60), '\\s+', '', 'g') AS q FROM benchmark), e AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS e FROM documents) SELECT item_id, doc_id FROM q JOIN e ON contains(e, q) WHERE q <> ''""")
+@query("""WITH q AS (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS q FROM benchmark), e AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS e FROM documents) SELECT item_id, doc_id FROM q JOIN e ON contains(e, q) WHERE q <> ''""")
 def quote_ground(spark, d):
-    q = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("quote"))
+    q = read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
     return evidence.ground_quotes(q, "quote", read(spark, d, "documents").select("doc_id", "text"), "text").select("item_id", "doc_id")
 
 
@@ -529,9 +537,9 @@ def url_usable(spark, d):
     return read(spark, d, "pages").select("page_id", (u.rlike("^https?://") & ~low.rlike(r"\.(png|jpg|gif|css|js|pdf)(\?|#|$)") & ~low.rlike("://[^/]*(casino|ads-track|spam|adult)")).alias("usable"))
 
 
-@query(f"WITH {lists_sql()}, {THREE} SELECT source, round(sum(1.0::DOUBLE / (rank + 1)), 6) AS score, count(*) AS votes FROM three GROUP BY source ORDER BY score DESC, source LIMIT 5")
+@query(f"WITH {lists_sql()}, v AS (SELECT source, sum(greatest(1, 12 - rank))::BIGINT AS votes FROM long_ WHERE rank < 12 AND coalesce(source, '') <> '' GROUP BY source) SELECT source, votes FROM v WHERE votes >= 3 ORDER BY votes DESC, length(source) DESC, source LIMIT 1")
 def story_vote(spark, d):
-    return _three(spark, d).groupBy("source").agg(F.round(F.sum(1.0 / (F.col("rank") + 1)), 6).alias("score"), F.count(F.lit(1)).alias("votes")).orderBy(F.desc("score"), "source").limit(5)
+    return retrieval.story_vote(_list(spark, d, "n_chars").select("rank", "source"), "source", 12, 3)
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) GROUP BY conv_id")

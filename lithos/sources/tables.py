@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,12 +28,36 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def extra_documents(base: DataFrame, extra: DataFrame) -> DataFrame:
-    """Base and extra documents: of an id the first extra one by search text; blank ids or texts fail the job."""
-    bad = F.coalesce(F.trim("id"), F.lit("")) == ""
-    text = F.coalesce(F.trim("clean_text"), F.lit("")) == ""
-    checked = extra.where(F.assert_true(~(bad | text), "an extra document lacks its id or text").isNull())
-    return base.unionByName(checked.dropDuplicates(["id"]), allowMissingColumns=True)
+def strict_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value) of the lines that are not blank; a line that is no JSON object fails the job with its file and number."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
+    rows = files.where(F.trim("value") != "").select("path", (F.col("n") + 1).alias("line"), "value")
+    is_object = F.coalesce(F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull(), F.lit(False))
+    checked = F.when(is_object, F.col("value")).otherwise(F.raise_error(F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(": not a JSON object"))))
+    return rows.withColumn("value", checked)
+
+
+def dumps_jsonl(df: DataFrame) -> DataFrame:
+    """(value): each row as a line of JSON."""
+    return df.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def preview(df: DataFrame, order: str, path: str, rows: int = 200) -> None:
+    """The first `rows` rows as one file of JSON lines."""
+    df.orderBy(order).limit(rows).coalesce(1).write.mode("errorifexists").json(path)
+
+
+def extra_documents(base: DataFrame, extra: DataFrame, order: str) -> DataFrame:
+    """Base and extra documents: of an id the first extra one by `order`; the base stays as it is.
+
+    search_text falls back to clean_text. A blank id or clean_text fails the job.
+    """
+    clean = F.coalesce(F.trim("clean_text"), F.lit(""))
+    bad = (F.coalesce(F.trim("id"), F.lit("")) == "") | (clean == "")
+    text = F.coalesce(F.nullif(F.trim("search_text"), F.lit("")), clean) if "search_text" in extra.columns else clean
+    checked = extra.where(F.assert_true(~bad, F.lit("an extra document lacks its id or text")).isNull()).withColumn("search_text", text)
+    first = checked.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(order))).where("_n = 1").drop("_n")
+    return base.unionByName(first, allowMissingColumns=True)
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:

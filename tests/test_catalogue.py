@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 from lithos.operators.evidence import repair_json
-from lithos.plans import catalogue
+from lithos.plans import catalogue, stories  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
