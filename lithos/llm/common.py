@@ -41,11 +41,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, at: int) -> None:
+    """Delete the table number `at` of those written; nothing that still reads it may be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(at))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables written since there were `since` of them; nothing that still reads them may be used afterwards."""
     while len(_WRITTEN) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard(spark, -1)
 
 
 def written() -> int:
