@@ -125,6 +125,25 @@ def test_planted_fuzzy_lines_are_found(spark, share):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 20
 
 
+def test_prints_of_near_lines_agree_and_others_do_not():
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(400)]
+    texts, n = [], 60
+    for _ in range(n):
+        line = list(rng.choice(words, 60))
+        near = [w if rng.random() > 0.15 else "zz" + w[2:] for w in line]
+        texts += [" ".join(line), " ".join(near)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * n)), pa.array(texts)], ["id", "words"])
+    out = pa.Table.from_batches(lines._traits(iter([batch.slice(0, 7), batch.slice(7)])))
+    bits = np.array([out[f"s{j}"].to_pylist() for j in range(lines.PRINT_WORDS)]).T
+    common = np.array([[sum(int(a & b).bit_count() if a & b >= 0 else (int(a & b) + (1 << 64)).bit_count() for a, b in zip(x, y, strict=True)) for y in bits] for x in bits])
+    bins = out["bins"].to_numpy()
+    assert (np.diag(common) == bins).all() and set(out["text"].to_pylist()) == {None}
+    agree = common >= lines.AGREE * np.maximum.outer(bins, bins)
+    assert all(agree[i, i + 1] for i in range(0, 2 * n, 2))
+    assert (agree.sum() - 4 * n) < 0.02 * agree.size
+
+
 def test_lines_of_few_words_go(spark):
     rows = [(1, "and ornd\n\n-----\n***\n"), (2, "And ornd!\n\n ----- \n---\n你好世界今天天气很好我们去公园"), (3, "你好世界今天天气很好我们去公园\n你好世界今天天气真好我们去公园\neding in the\neding im the")]
     got = {tuple(r) for r in lines.duplicate_lines(docs_of(spark, rows), "doc_id", "text").collect()}
