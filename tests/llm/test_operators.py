@@ -144,6 +144,32 @@ def test_prints_of_near_lines_agree_and_others_do_not():
     assert (agree.sum() - 4 * n) < 0.02 * agree.size
 
 
+class Seen(Exception):
+    pass
+
+
+def test_unrelated_long_lines_meet_in_few_buckets(spark, monkeypatch):
+    """Long lines of one language's syllables share many short runs of characters; near ones share far more buckets than these."""
+    rng = random.Random(3)
+    syllables = "the and ing her hat his tha ere for ent ion ter was you ith ver all wit thi tio".split()
+    made = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    rows = [(i, " ".join(made() for _ in range(150))) for i in range(400)]
+    near = [(400 + i, text.replace(" the ", " not ")) for i, text in rows[:20]]
+    members = []
+
+    def seen(table, *_):
+        members.extend(table.collect())
+        raise Seen
+
+    monkeypatch.setattr(lines, "bucket_links", seen)
+    for part in (rows, rows[:20] + near):
+        with pytest.raises(Seen):
+            lines.duplicate_lines(docs_of(spark, part), "doc_id", "text")
+        members.append(None)
+    unrelated, related = members[: members.index(None)], members[members.index(None) + 1 : -1]
+    assert len(unrelated) < 100 and len({m.id for m in related}) == 40
+
+
 def test_lines_of_few_words_go(spark):
     rows = [(1, "and ornd\n\n-----\n***\n"), (2, "And ornd!\n\n ----- \n---\n你好世界今天天气很好我们去公园"), (3, "你好世界今天天气很好我们去公园\n你好世界今天天气真好我们去公园\neding in the\neding im the")]
     got = {tuple(r) for r in lines.duplicate_lines(docs_of(spark, rows), "doc_id", "text").collect()}
