@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lithos.llm import buckets, decontaminate, language, lines, minhash, neighbours, packing, pages, sharding, suffixes, urls
+from lithos.llm import buckets, common, decontaminate, language, lines, minhash, neighbours, packing, pages, sharding, suffixes, urls
 from lithos.llm.components import connected_components
 from lithos.llm.tokens import WordTokenizer
 
@@ -144,6 +144,14 @@ def test_prints_of_near_lines_agree_and_others_do_not():
     assert (agree.sum() - 4 * n) < 0.02 * agree.size
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = spark.range(10_000).repartition(4, "id")
+    before = manager.getAllFiles().size()
+    written = common.checkpointed(shuffled)
+    assert manager.getAllFiles().size() <= before and written.count() == 10_000
+
+
 class Seen(Exception):
     pass
 
