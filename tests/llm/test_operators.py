@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lithos.llm import buckets, common, decontaminate, language, lines, minhash, neighbours, packing, pages, sharding, suffixes, urls
 from lithos.llm.components import connected_components
 from lithos.llm.tokens import WordTokenizer
@@ -144,6 +145,50 @@ def test_prints_of_near_lines_agree_and_others_do_not():
     assert (agree.sum() - 4 * n) < 0.02 * agree.size
 
 
+def test_lines_within_a_number_of_edits():
+    rng, texts = random.Random(4), ["", "", "", "abc", "abc", ""]
+    for size in [1, 2, 5, 63, 64, 65, 127, 128, 129, 200, 300] * 6:
+        one = [rng.choice("abcdefg é世界") for _ in range(size)]
+        other = list(one)
+        for _ in range(rng.randint(0, max(1, size // 3))):
+            i = rng.randrange(len(other) + 1)
+            other[i : i + rng.randint(0, 1)] = rng.choice(["", "z", "你"])
+        texts += ["".join(one), "".join(other)]
+    x = np.arange(0, len(texts), 2)
+    distance = np.array([round((1 - edit_similarity(a, b)) * max(len(a), len(b))) if a or b else 0 for a, b in zip(texts[::2], texts[1::2], strict=True)])
+    for off in (-1, 0, 2):
+        limit = np.maximum(distance + off, 0)
+        assert (lines.within(*lines._points(pa.array(texts)), x, x + 1, limit) == (distance <= limit)).all()
+
+
+def test_lines_that_share_a_passage_make_no_rows_of_pairs(spark, monkeypatch):
+    """Half of each line is one passage: every pair's print agrees, hardly any is linked."""
+    rng = random.Random(6)
+    made = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(n))
+    passage = made(28)
+    texts = [f"{made(9)} {passage} {made(15)}" for _ in range(80)]
+    texts.append(texts[70][:-6] + "xyzxyz")
+    tables, old = [], lines.checkpointed
+
+    def seen(df):
+        out = old(df)
+        if {"a", "b"} <= set(out.columns):
+            tables.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "checkpointed", seen)
+    got = [tuple(r) for r in lines.duplicate_lines(docs_of(spark, list(enumerate(texts))), "doc_id", "text").collect()]
+    assert got == [(80, 0)] and max(tables) < 500  # of 3240 pairs
+
+
+def test_operators_leave_one_table(spark, near):
+    at = common.written()
+    assert lines.dedupe_lines(docs_of(spark, [(1, "one two"), (2, "one two")]), "doc_id", "text").count() == 2
+    assert common.written() == at + 1
+    kept = corpus_pipeline.near_dedup(spark, docs_of(spark, near), "")
+    assert 0 < kept.count() < len(near) and common.written() == at + 2
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffled = spark.range(10_000).repartition(4, "id")
